@@ -39,14 +39,14 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
 
 
 def keyed(docs: DataFrame, *extra: str | Column) -> DataFrame:
-    """doc_id, text, a non-null key ``k`` and the text's hash ``th``; other columns of ``docs`` are left behind.
+    """doc_id, text, a non-null key ``k`` and a mark ``th``; other columns of ``docs`` are left behind.
 
-    Rows are told apart by (k, th): rows repeated with one doc_id and one text behave alike.
+    Rows are told apart by (k, th): th is 0 where no doc_id is repeated, else the text's hash, so that rows repeated with one
+    doc_id and one text behave alike.
     """
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"),
-        F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"), *extra,
-    )
+    k = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    repeated = docs.groupBy(k.alias("k")).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), k.alias("k"), F.xxhash64("text").alias("th") if repeated else F.lit(0).cast("long").alias("th"), F.col("text").cast("string").alias("text"), *extra)
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:

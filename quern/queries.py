@@ -1,3 +1,558 @@
-"""Registered queries of the library's own operators."""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+"""Registered queries of the library's own operators, each over whole tables, and the same results in SQL.
+
+Time series come from ``events``: a series for each (event_type, user_id), 31 daily steps of January 2024, windows of five days.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from .operators import discovery, fulltext, logs, similarity as sim
+from .plans.planner import Engine
+from .sources import exposition, otlp
+from .sources.metrics import HOUR, Metrics, normalise
+from .sources.shared import shared_folder
+
+DAY = 86_400_000
+START, END, SPAN = 1_704_067_200_000, 1_704_067_200_000 + 30 * DAY, 5 * DAY
+PLACES = 6
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def register(name: str, sql: str | None = None):
+    def of(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return of
+
+
+# Time series -------------------------------------------------------------------------------------
+
+
+def events_metrics(spark: SparkSession, sf_dir: str) -> Metrics:
+    e = table(spark, sf_dir, "events")
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    return Metrics.wide(e, {"event_type": F.col("event_type"), "user_id": F.col("user_id")}, ms, F.col("value"), name="events_value", newest=F.col("event_id"), time="ts")
+
+
+def engine(spark: SparkSession, sf_dir: str, **flags) -> Engine:
+    return Engine(events_metrics(spark, sf_dir), **{"lookback": SPAN, **flags})
+
+
+_BASE = f"""WITH samples AS (
+  SELECT 'events_value' AS __name__, event_type, CAST(user_id AS VARCHAR) AS user_id, epoch_us(ts) // 1000 AS ts_ms, arg_max(value, event_id) AS value
+  FROM events GROUP BY ALL),
+lagged AS (SELECT *, lag(ts_ms) OVER w AS pt, lag(value) OVER w AS pv FROM samples WINDOW w AS (PARTITION BY event_type, user_id ORDER BY ts_ms)),
+steps AS (SELECT {START} + {DAY} * k AS step FROM range(31) t(k)),
+win AS (SELECT l.*, step FROM lagged l JOIN steps ON ts_ms > step - {SPAN} AND ts_ms <= step),
+inst AS (SELECT __name__, event_type, user_id, step, arg_max(value, ts_ms) AS value, max(ts_ms) AS src FROM samples JOIN steps ON ts_ms > step - {SPAN} AND ts_ms <= step GROUP BY ALL),
+pairs AS (SELECT event_type, user_id, step, count(*) AS n, min(ts_ms) AS t0, max(ts_ms) AS t1, arg_min(value, ts_ms) AS v0, arg_max(value, ts_ms) AS v1,
+  sum(CASE WHEN pt > step - {SPAN} AND value < pv THEN pv ELSE 0 END) AS lost FROM win GROUP BY ALL HAVING count(*) >= 2 AND max(ts_ms) > min(ts_ms)),
+spread AS (SELECT *, (t1 - t0) / 1000.0::DOUBLE AS covered, (t1 - t0) / 1000.0::DOUBLE / (n - 1) AS mean, (t0 - (step - {SPAN})) / 1000.0::DOUBLE AS s0, (step - t1) / 1000.0::DOUBLE AS e0, v1 - v0 + lost AS up, v1 - v0 AS change FROM pairs),
+edges AS (SELECT *, CASE WHEN s0 >= mean * 1.1 THEN mean / 2 ELSE s0 END AS s1, CASE WHEN e0 >= mean * 1.1 THEN mean / 2 ELSE e0 END AS e1 FROM spread),
+clipped AS (SELECT *, CASE WHEN up > 0 AND v0 >= 0 AND v0 * covered / up < s1 THEN v0 * covered / up ELSE s1 END AS s2 FROM edges),
+rates AS (SELECT event_type, user_id, step, up * ((covered + s2 + e1) / covered) / {SPAN / 1000} AS value FROM clipped)
+"""
+
+
+def promql(name: str, query: str, sql: str | None, places: int = PLACES, instant: int | None = None, **flags) -> None:
+    """A range query over the grid (or at one time). ``sql``: what follows the common tables; ``value`` is rounded in both."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = engine(spark, sf_dir, **flags)
+        found = e.range(query, START, END, DAY, flat=True) if instant is None else e.instant(query, instant, flat=True)
+        return found.withColumn("value", F.round("value", places))
+
+    run.__name__ = name
+    QUERIES[name] = run
+    if sql:
+        ORACLE_SQL[name] = f"{_BASE} SELECT * REPLACE (round(value, {places}) AS value) FROM ({sql})"
+
+
+_KEYS = "event_type, user_id, step AS ts_ms"
+
+
+def _by_series(expr: str, source: str = "win", having: str = "") -> str:
+    return f"SELECT {_KEYS}, CAST({expr} AS DOUBLE) AS value FROM {source} GROUP BY event_type, user_id, step {having}"
+
+
+def _each(expr: str, source: str = "inst", where: str = "true") -> str:
+    return f"SELECT {_KEYS}, CAST({expr} AS DOUBLE) AS value FROM {source} WHERE {where}"
+
+
+M, RANGE = "events_value", "events_value[5d]"
+promql("flagship_sum_rate", f"sum by (event_type) (rate({RANGE}))", "SELECT event_type, step AS ts_ms, sum(value) AS value FROM rates GROUP BY event_type, step")
+
+# S: selectors.
+promql("s1_instant_selector", M, f"SELECT __name__, {_KEYS}, value FROM inst")
+promql("s2_range_selector_count", f"count_over_time({RANGE})", _by_series("count(*)"))
+promql("s3_matchers", 'events_value{event_type="click",user_id!="3"}', f"SELECT __name__, {_KEYS}, value FROM inst WHERE event_type = 'click' AND user_id <> '3'")
+promql("s4_empty_matcher", 'events_value{region="",event_type="view"}', f"SELECT __name__, {_KEYS}, value FROM inst WHERE event_type = 'view'")
+promql("s5_regex_matchers", 'events_value{event_type=~"click|view",user_id!~"1|2|3"}', f"SELECT __name__, {_KEYS}, value FROM inst WHERE event_type IN ('click', 'view') AND user_id NOT IN ('1', '2', '3')")
+promql("s6_offset", "events_value offset 2d", f"SELECT __name__, event_type, user_id, st.step AS ts_ms, arg_max(value, s.ts_ms) AS value FROM samples s JOIN steps st ON s.ts_ms > st.step - {2 * DAY + SPAN} AND s.ts_ms <= st.step - {2 * DAY} GROUP BY ALL")
+promql("s7_at_modifier", f"events_value @ {(START + 10 * DAY) // 1000}", f"SELECT __name__, event_type, user_id, s.step AS ts_ms, value FROM inst i, steps s WHERE i.step = {START + 10 * DAY}")
+promql("s8_number_literal", "events_value * 0 + 42", _each("42"))
+promql("s9_time", "time()", "SELECT step AS ts_ms, step / 1000.0::DOUBLE AS value FROM steps")
+promql("s10_pi", "vector(pi())", "SELECT step AS ts_ms, pi() AS value FROM steps")
+promql("s11_instant_query", M, f"SELECT __name__, {_KEYS}, value FROM inst WHERE step = {START + 15 * DAY}", instant=START + 15 * DAY)
+
+# R: functions of ranges.
+promql("r1_rate", f"rate({RANGE})", "SELECT event_type, user_id, step AS ts_ms, value FROM rates", 12)
+promql("r2_increase", f"increase({RANGE})", f"SELECT event_type, user_id, step AS ts_ms, value * {SPAN / 1000} AS value FROM rates", 7)
+promql("r3_delta", f"delta({RANGE})", "SELECT event_type, user_id, step AS ts_ms, change * ((covered + s1 + e1) / covered) AS value FROM edges", 4)
+_LAST = f"(SELECT event_type, user_id, step, arg_max(value, ts_ms) AS v, max(ts_ms) AS t, arg_max(pv, ts_ms) AS pv, arg_max(pt, ts_ms) AS pt FROM win WHERE pt > step - {SPAN} GROUP BY ALL)"
+promql("r4_irate", f"irate({RANGE})", f"SELECT {_KEYS}, (CASE WHEN v < pv THEN v ELSE v - pv END) / ((t - pt) / 1000.0::DOUBLE) AS value FROM {_LAST} WHERE t > pt", 9)
+promql("r5_idelta", f"idelta({RANGE})", f"SELECT {_KEYS}, v - pv AS value FROM {_LAST}")
+promql("r6_resets", f"resets({RANGE})", _by_series(f"count(*) FILTER (pt > step - {SPAN} AND value < pv)"))
+promql("r7_changes", f"changes({RANGE})", _by_series(f"count(*) FILTER (pt > step - {SPAN} AND value <> pv)"))
+for _n, _f, _x in (("r8_sum", "sum", "sum(value)"), ("r9_avg", "avg", "avg(value)"), ("r10_min", "min", "min(value)"), ("r11_max", "max", "max(value)"), ("r12_count", "count", "count(*)"), ("r13_last", "last", "arg_max(value, ts_ms)"), ("r14_stddev", "stddev", "stddev_pop(value)"), ("r15_stdvar", "stdvar", "var_pop(value)"), ("r17_present", "present", "1")):
+    _sql = _by_series(_x)
+    promql(f"{_n}_over_time", f"{_f}_over_time({RANGE})", _sql if _f != "last" else _sql.replace("SELECT ", "SELECT 'events_value' AS __name__, ", 1), 8 if _f.startswith("std") else PLACES)
+promql("r16_quantile_over_time", f"quantile_over_time(0.9, {RANGE})", _by_series("quantile_cont(value, CAST(0.9 AS DOUBLE))"))
+promql(
+    "r18_subquery", "max_over_time(sum by (event_type) (events_value)[5d:1d])",
+    f"SELECT event_type, st.step AS ts_ms, max(v) AS value FROM steps st JOIN (SELECT event_type, k.g AS g, sum(value) AS v FROM (SELECT event_type, user_id, g, arg_max(value, ts_ms) AS value FROM samples JOIN (SELECT {START} + {DAY} * k AS g FROM range(-4, 31) t(k)) gs ON ts_ms > g - {SPAN} AND ts_ms <= g GROUP BY ALL) k GROUP BY ALL) q ON q.g > st.step - {SPAN} AND q.g <= st.step GROUP BY event_type, st.step",
+)
+promql("r8_sum_exact", f"sum_over_time({RANGE})", _by_series("sum(value)"), exact=True)
+promql("r_topn_rate_by_panes", "max_over_time(events_value[10d])", f"SELECT event_type, user_id, step AS ts_ms, max(value) AS value FROM samples JOIN steps ON ts_ms > step - {2 * SPAN} AND ts_ms <= step GROUP BY ALL")
+
+# I: functions of one value.
+for _n, _q, _x in (
+    ("i1_abs", "abs(events_value - 100)", "abs(value - 100)"), ("i2_ceil", "ceil(events_value)", "ceil(value)"), ("i3_floor", "floor(events_value)", "floor(value)"),
+    ("i4_exp", "exp(events_value / 100)", "exp(value / 100)"), ("i5_ln", "ln(events_value)", "ln(value)"), ("i6_log2", "log2(events_value)", "log2(value)"), ("i7_log10", "log10(events_value)", "log10(value)"),
+    ("i8_sqrt", "sqrt(events_value)", "sqrt(value)"), ("i9_sin", "sin(events_value)", "sin(value)"), ("i10_cos", "cos(events_value)", "cos(value)"), ("i11_tan", "tan(events_value / 1000)", "tan(value / 1000)"),
+    ("i12_asin", "asin(events_value / 1000)", "asin(value / 1000)"), ("i13_acos", "acos(events_value / 1000)", "acos(value / 1000)"), ("i14_atan", "atan(events_value)", "atan(value)"),
+    ("i15_sinh", "sinh(events_value / 100)", "sinh(value / 100)"), ("i16_cosh", "cosh(events_value / 100)", "cosh(value / 100)"), ("i17_tanh", "tanh(events_value / 100)", "tanh(value / 100)"),
+    ("i18_asinh", "asinh(events_value)", "asinh(value)"), ("i19_acosh", "acosh(events_value + 1)", "acosh(value + 1)"), ("i20_atanh", "atanh(events_value / 1000)", "atanh(value / 1000)"),
+    ("i21_deg", "deg(events_value)", "degrees(value)"), ("i22_rad", "rad(events_value)", "radians(value)"), ("i23_sgn", "sgn(events_value - 50)", "sign(value - 50)"),
+    ("i24_round", "round(events_value, 5)", "floor(value * 0.2::DOUBLE + 0.5) / 0.2::DOUBLE"), ("i25_clamp", "clamp(events_value, 20, 80)", "least(greatest(value, 20), 80)"),
+    ("i26_clamp_min", "clamp_min(events_value, 20)", "greatest(value, 20)"), ("i27_clamp_max", "clamp_max(events_value, 80)", "least(value, 80)"), ("i28_timestamp", "timestamp(events_value)", "src / 1000.0::DOUBLE"),
+    ("i39_negated", "-events_value", "-value"),
+):
+    promql(_n, _q, _each(_x))
+for _n, _f, _x in (
+    ("i29_year", "year", "year(t)"), ("i30_month", "month", "month(t)"), ("i31_day_of_month", "day_of_month", "day(t)"), ("i32_day_of_year", "day_of_year", "dayofyear(t)"), ("i33_day_of_week", "day_of_week", "dayofweek(t)"),
+    ("i34_hour", "hour", "hour(t)"), ("i35_minute", "minute", "minute(t)"), ("i36_days_in_month", "days_in_month", "day(last_day(t))"),
+):
+    promql(_n, f"{_f}(timestamp(events_value))", _each(_x, "(SELECT *, epoch_ms((src // 1000 * 1000)::BIGINT) AS t FROM inst)"))
+promql("i37_scalar", "vector(scalar(sum(events_value)))", "SELECT s.step AS ts_ms, coalesce(v, 'nan'::DOUBLE) AS value FROM steps s LEFT JOIN (SELECT step, sum(value) AS v FROM inst GROUP BY step) USING (step)")
+promql("i38_vector", "vector(time() / 2)", "SELECT step AS ts_ms, step / 2000.0::DOUBLE AS value FROM steps")
+
+# L: labels.
+promql("l1_label_replace", 'label_replace(events_value, "kind", "$1-x", "event_type", "(c.*|v.*)")', f"SELECT __name__, {_KEYS}, CASE WHEN event_type ~ '^[cv]' THEN event_type || '-x' ELSE '' END AS kind, value FROM inst")
+promql("l2_label_join", 'label_join(events_value, "both", "/", "event_type", "user_id", "none")', f"SELECT __name__, {_KEYS}, event_type || '/' || user_id || '/' AS both, value FROM inst")
+
+# A: aggregations.
+for _n, _f, _x in (("a1_sum", "sum", "sum(value)"), ("a2_avg", "avg", "avg(value)"), ("a3_min", "min", "min(value)"), ("a4_max", "max", "max(value)"), ("a5_count", "count", "count(*)"), ("a6_stddev", "stddev", "stddev_pop(value)"), ("a7_stdvar", "stdvar", "var_pop(value)"), ("a8_group", "group", "1")):
+    promql(f"{_n}_by", f"{_f} by (event_type) (events_value)", f"SELECT event_type, step AS ts_ms, CAST({_x} AS DOUBLE) AS value FROM inst GROUP BY event_type, step", 4)
+promql("a1_sum_without", "sum without (user_id) (events_value)", "SELECT event_type, step AS ts_ms, sum(value) AS value FROM inst GROUP BY event_type, step")
+promql("a1_sum_all", "sum(events_value)", "SELECT step AS ts_ms, sum(value) AS value FROM inst GROUP BY step")
+for _n, _f, _o in (("a9_topk", "topk", "DESC"), ("a10_bottomk", "bottomk", "ASC")):
+    promql(_n, f"{_f} by (event_type) (3, events_value)", f"SELECT __name__, {_KEYS}, value FROM inst QUALIFY row_number() OVER (PARTITION BY event_type, step ORDER BY value {_o}, event_type, user_id) <= 3")
+promql("a11_topk_ordered", "topk(5, events_value)", f"SELECT __name__, {_KEYS}, value FROM inst WHERE step = {START + 20 * DAY} ORDER BY value DESC, event_type, user_id LIMIT 5", instant=START + 20 * DAY)
+promql("a12_quantile", "quantile by (event_type) (0.75, events_value)", "SELECT event_type, step AS ts_ms, quantile_cont(value, CAST(0.75 AS DOUBLE)) AS value FROM inst GROUP BY event_type, step")
+promql("a13_count_values", 'count_values("v", floor(events_value / 50))', "SELECT CAST(CAST(floor(value / 50) AS BIGINT) AS VARCHAR) AS v, step AS ts_ms, CAST(count(*) AS DOUBLE) AS value FROM inst GROUP BY ALL")
+
+# B and J: binary operators.
+for _n, _o, _x in (("b1_add", "+", "value + 7"), ("b2_sub", "-", "value - 7"), ("b3_mul", "*", "value * 7"), ("b4_div", "/", "value / 7"), ("b5_mod", "%", "fmod(value, 7)"), ("b6_pow", "^", "pow(value, 7)"), ("b7_atan2", "atan2", "atan2(value, 7)")):
+    promql(_n, f"(events_value / 10) {_o} 7", _each(_x, "(SELECT * REPLACE (value / 10 AS value) FROM inst)"), 2 if _o == "^" else PLACES)
+for _n, _o, _s in (("b8_eq", "==", "="), ("b9_ne", "!=", "<>"), ("b10_gt", ">", ">"), ("b11_lt", "<", "<"), ("b12_ge", ">=", ">="), ("b13_le", "<=", "<=")):
+    promql(_n, f"floor(events_value) {_o} 50", _each("v", f"(SELECT *, floor(value) AS v FROM inst)", f"v {_s} 50"))
+promql("b10_gt_bool", "events_value > bool 50", _each("CASE WHEN value > 50 THEN 1 ELSE 0 END"))
+_FEW, _SOME = "(SELECT * FROM inst WHERE value > 60)", "(SELECT * FROM inst WHERE value < 20)"
+promql("b14_and", "events_value and (events_value > 60)", f"SELECT __name__, {_KEYS}, value FROM {_FEW}")
+promql("b15_or", "(events_value > 60) or (events_value < 20)", f"SELECT __name__, {_KEYS}, value FROM {_FEW} UNION ALL SELECT __name__, {_KEYS}, value FROM {_SOME}")
+promql("b16_unless", "events_value unless (events_value > 60)", f"SELECT __name__, {_KEYS}, value FROM inst WHERE NOT value > 60")
+promql("j1_vector_vector", f"events_value / avg_over_time({RANGE})", f"SELECT event_type, user_id, i.step AS ts_ms, i.value / a.value AS value FROM inst i JOIN (SELECT event_type, user_id, step, avg(value) AS value FROM win GROUP BY ALL) a USING (event_type, user_id, step)")
+_J2 = 'sum by (event_type, user_id) (events_value{event_type="click"}) - on(user_id) sum by (event_type, user_id) (events_value{event_type="view"})'
+promql("j2_on", _J2, "SELECT user_id, a.step AS ts_ms, a.value - b.value AS value FROM inst a JOIN inst b USING (user_id, step) WHERE a.event_type = 'click' AND b.event_type = 'view'")
+promql("j2_ignoring", _J2.replace("on(user_id)", "ignoring(event_type)"), ORACLE_SQL["j2_on"].split("FROM (", 1)[1][:-1])
+promql("j5_group_left", "events_value / on(event_type) group_left sum by (event_type) (events_value)", "SELECT event_type, user_id, i.step AS ts_ms, i.value / a.s AS value FROM inst i JOIN (SELECT event_type, step, sum(value) AS s FROM inst GROUP BY ALL) a USING (event_type, step)", 9)
+promql("j6_group_right", "sum by (event_type) (events_value) - on(event_type) group_right events_value", "SELECT event_type, user_id, i.step AS ts_ms, a.s - i.value AS value FROM inst i JOIN (SELECT event_type, step, sum(value) AS s FROM inst GROUP BY ALL) a USING (event_type, step)")
+promql("j7_scalar_vector", "100 - events_value", _each("100 - value"))
+promql("j8_scalar_scalar", "vector(time() > bool 1705000000)", "SELECT step AS ts_ms, CASE WHEN step > 1705000000000 THEN 1.0::DOUBLE ELSE 0 END AS value FROM steps")
+promql("j9_name_kept_by_filter", "events_value > 60", f"SELECT __name__, {_KEYS}, value FROM {_FEW}")
+
+
+# Labels held apart from samples: the same answer by series_id and a dimension of labels.
+@register("j5_group_left_info", f"{_BASE} SELECT event_type, user_id, nation, ts_ms, round(value, 6) AS value FROM (SELECT event_type, user_id, n_name AS nation, i.step AS ts_ms, i.value * 1 AS value FROM inst i JOIN (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS user_id, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey) USING (user_id))")
+def j5_group_left_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events_value * on(user_id) group_left(nation) customer_info, two metrics in the normalised layout."""
+    e = table(spark, sf_dir, "events").groupBy("event_type", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms")).agg(F.max_by("value", "event_id").alias("value"))
+    samples = e.select(F.create_map(F.lit("__name__"), F.lit("events_value"), F.lit("event_type"), "event_type", F.lit("user_id"), F.col("user_id").cast("string")).alias("labels"), "ts_ms", "value")
+    info = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    info = info.select(F.create_map(F.lit("__name__"), F.lit("customer_info"), F.lit("user_id"), F.col("c_custkey").cast("string"), F.lit("nation"), "n_name").alias("labels"), F.explode(F.sequence(F.lit(START).cast("bigint"), F.lit(END).cast("bigint"), F.lit(DAY).cast("bigint"))).alias("ts_ms"), F.lit(1.0).alias("value"))
+    series, rows = normalise(samples.unionByName(info))
+    found = Engine(Metrics.tables(series, rows, ("__name__", "event_type", "nation", "user_id")), lookback=SPAN)
+    return found.range("events_value * on(user_id) group_left(nation) customer_info", START, END, DAY, flat=True).select("event_type", "user_id", "nation", "ts_ms", F.round("value", 6).alias("value"))
+
+
+_LINES = "WITH s AS (SELECT l_returnflag, l_linestatus, epoch_us(l_shipdate) // 1000 AS ts_ms, sum(l_quantity) AS value FROM lineitem GROUP BY ALL)"
+_L0 = 725_846_400_000  # 1993-01-01
+
+
+@register("r1_increase_lineitem", f"{_LINES}, st AS (SELECT {_L0} + {30 * DAY} * k AS step FROM range(73) t(k)) SELECT l_returnflag, l_linestatus, step AS ts_ms, round(sum(value), 6) AS value FROM s JOIN st ON ts_ms > step - {90 * DAY} AND ts_ms <= step GROUP BY ALL")
+def r1_increase_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sum_over_time over a quarter of the quantity shipped, by flags."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus", F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("ts_ms")).agg(F.sum("l_quantity").alias("value"))
+    m = Metrics.wide(rows, {"l_returnflag": F.col("l_returnflag"), "l_linestatus": F.col("l_linestatus")}, F.col("ts_ms"), F.col("value"), name="lineitem_quantity")
+    return Engine(m).range("sum_over_time(lineitem_quantity[90d])", _L0, _L0 + 72 * 30 * DAY, 30 * DAY, flat=True).withColumn("value", F.round("value", 6))
+
+
+# D: discovery.
+@register("d1_series", "SELECT DISTINCT 'events_value' AS __name__, event_type, CAST(user_id AS VARCHAR) AS user_id FROM events WHERE event_type = 'click'")
+def d1_series(spark, sf_dir):
+    return discovery.series(events_metrics(spark, sf_dir), ['events_value{event_type="click"}'])
+
+
+@register("d2_labels", "SELECT unnest(['__name__', 'event_type', 'user_id']) AS label")
+def d2_labels(spark, sf_dir):
+    return discovery.labels(events_metrics(spark, sf_dir), ["events_value"])
+
+
+@register("d3_label_values", "SELECT DISTINCT CAST(user_id AS VARCHAR) AS value FROM events WHERE event_type = 'view'")
+def d3_label_values(spark, sf_dir):
+    return discovery.label_values(events_metrics(spark, sf_dir), "user_id", ['events_value{event_type="view"}'])
+
+
+_FAMILIES = "# TYPE a counter\n# HELP a first\n# UNIT a seconds\n# TYPE b gauge\n# HELP b second"
+
+
+@register("d4_metadata", "SELECT * FROM (VALUES ('a', 'counter', 'first', 'seconds'), ('b', 'gauge', 'second', '')) t(metric, type, help, unit)")
+def d4_metadata(spark, sf_dir):
+    lines = spark.createDataFrame([(x,) for x in _FAMILIES.split("\n")], "value string")
+    m = events_metrics(spark, sf_dir)
+    return discovery.metadata(Metrics(m.samples, m.labels, metadata=exposition.metadata(lines)))
+
+
+@register("d5_federate", f"""{_BASE} SELECT 'events_value{{event_type="' || event_type || '",user_id="' || user_id || '"}} ' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || ' ' || CAST(step AS VARCHAR) AS line FROM inst WHERE step = {START + 15 * DAY} AND event_type = 'click' AND value = floor(value)""")
+def d5_federate(spark, sf_dir):
+    found = discovery.federate(events_metrics(spark, sf_dir), ['events_value{event_type="click"}', 'events_value{event_type="click",user_id!=""}'], START + 15 * DAY, SPAN)
+    return found.where(~F.col("line").rlike(r"\} -?\d+\.\d"))
+
+
+@register("d7_active_series")
+def d7_active_series(spark, sf_dir):
+    return discovery.active_series(events_metrics(spark, sf_dir).samples, ["l_event_type", "l_user_id"])
+
+
+@register("d8_retention", f"SELECT count(*) AS n FROM events WHERE (epoch_us(ts) // 1000 // {HOUR}) * {HOUR} + {7 * DAY} > {END}")
+def d8_retention(spark, sf_dir):
+    from .sources.metrics import expired
+
+    e = table(spark, sf_dir, "events").withColumn("bucket_hour", F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / HOUR).cast("bigint"))
+    return expired(e, END, 7 * DAY).agg(F.count("*").alias("n"))
+
+
+# W: samples from other formats.
+@register("w1_write_read", "SELECT CAST(count(*) AS BIGINT) AS samples, round(sum(value), 2) AS total, CAST(count(DISTINCT (event_type, user_id)) AS BIGINT) AS series FROM (SELECT event_type, user_id, epoch_us(ts) // 1000 AS t, arg_max(value, event_id) AS value FROM events GROUP BY ALL)")
+def w1_write_read(spark, sf_dir):
+    from .sources.metrics import read_samples, write_samples
+
+    e = table(spark, sf_dir, "events")
+    rows = e.select(F.create_map(F.lit("__name__"), F.lit("events_value"), F.lit("event_type"), "event_type", F.lit("user_id"), F.col("user_id").cast("string")).alias("labels"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), "value", "event_id")
+    write_samples(rows, path := f"{shared_folder(spark)}/w1-{uuid.uuid4().hex}", "event_id")
+    m = read_samples(spark, path)
+    return m.samples.agg(F.count("*").alias("samples"), F.round(F.sum("value"), 2).alias("total"), F.count_distinct("series_id").alias("series"))
+
+
+@register("w3_exposition", "SELECT event_id, event_type, CAST(user_id AS VARCHAR) AS user_id, 'events_total' AS name, epoch_us(ts) // 1000 AS ts_ms, value FROM events")
+def w3_exposition(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    line = F.format_string('events_total{event_type="%s",user_id="%d",id="%d"} %s %d # {trace="x"} 1', "event_type", "user_id", "event_id", F.col("value").cast("string"), F.unix_millis(F.col("ts").cast("timestamp")))
+    found = exposition.parse(e.select(line.alias("value")))
+    return found.select(F.col("labels")["id"].cast("bigint").alias("event_id"), F.col("labels")["event_type"].alias("event_type"), F.col("labels")["user_id"].alias("user_id"), F.col("labels")["__name__"].alias("name"), "ts_ms", "value")
+
+
+def _attribute(key: str, value) -> F.Column:
+    none = lambda t: F.lit(None).cast(t)
+    return F.struct(F.lit(key).alias("key"), F.struct(value.cast("string").alias("stringValue"), none("string").alias("intValue"), none("double").alias("doubleValue"), none("boolean").alias("boolValue")).alias("value"))
+
+
+def _request(points: DataFrame, kind: str, **more) -> DataFrame:
+    """Rows with ``p`` (a data point) as requests of one metric each."""
+    null = {"gauge": "gauge", "sum": "sum", "histogram": "histogram", "exponentialHistogram": "exponentialHistogram", "summary": "summary"}
+    body = F.struct(F.array("p").alias("dataPoints"), *[F.lit(v).alias(k) for k, v in more.items()])
+    metric = F.struct(F.lit("http.latency").alias("name"), F.lit("").alias("description"), F.lit("ms").alias("unit"), *[(body if k == kind else F.lit(None)).alias(k) for k in null])
+    attributes = F.array(_attribute("service.name", F.lit("web")))
+    one = F.struct(F.struct(attributes.alias("attributes")).alias("resource"), F.array(F.struct(F.struct(F.lit("lib").alias("name"), F.lit("1").alias("version"), attributes.alias("attributes")).alias("scope"), F.array(metric).alias("metrics"))).alias("scopeMetrics"))
+    return points.select(F.array(one).cast(otlp.SCHEMA.split(" ", 1)[1]).alias("resourceMetrics"))
+
+
+def _flat(found: DataFrame, *labels: str) -> DataFrame:
+    return found.select(*[F.coalesce(F.col("labels")[x], F.lit("")).alias(x.strip("_")) for x in ("__name__", "service_name", *labels)], "ts_ms", F.round("value", 6).alias("value"), "type")
+
+
+_NS = "epoch_us(ts) // 1000"
+
+
+@register("w5_otlp_gauge", f"SELECT 'http_latency_milliseconds' AS name, 'web' AS service_name, event_type, CAST(event_id AS VARCHAR) AS id, {_NS} AS ts_ms, value, 'gauge' AS type FROM events")
+def w5_otlp_gauge(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.struct(F.array(_attribute("event.type", F.col("event_type")), _attribute("id", F.col("event_id"))).alias("attributes"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("timeUnixNano"), F.col("value").alias("asDouble"), F.lit(None).cast("bigint").alias("asInt")).alias("p"))
+    return _flat(otlp.convert(_request(e, "gauge")), "event_type", "id")
+
+
+@register("w6_otlp_sum", f"SELECT 'http_latency_milliseconds_total' AS name, 'web' AS service_name, CAST(event_id AS VARCHAR) AS id, {_NS} AS ts_ms, value, 'counter' AS type FROM events WHERE event_type <> 'error'")
+def w6_otlp_sum(spark, sf_dir):
+    """Cumulative sums stay, deltas (of errors here) go."""
+    e = table(spark, sf_dir, "events")
+    p = F.struct(F.array(_attribute("id", F.col("event_id"))).alias("attributes"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("timeUnixNano"), F.col("value").alias("asDouble"), F.lit(None).cast("bigint").alias("asInt")).alias("p")
+    kept, delta = e.where("event_type <> 'error'").select(p), e.where("event_type = 'error'").select(p)
+    both = _request(kept, "sum", aggregationTemporality=2, isMonotonic=True).union(_request(delta, "sum", aggregationTemporality=1, isMonotonic=True))
+    return _flat(otlp.convert(both), "id")
+
+
+_H = f"h AS (SELECT event_type, count(*) AS n, sum(value) AS s, [count(*) FILTER (value <= 50), count(*) FILTER (value <= 100.5), count(*) FILTER (value <= 200)] AS c FROM events GROUP BY 1)"
+_P = "'http_latency_milliseconds'"
+
+
+@register(
+    "w7_otlp_histogram",
+    f"""WITH {_H} SELECT {_P} || '_bucket' AS name, 'web' AS service_name, event_type, unnest(['50', '100.5', '200', '+Inf']) AS le, {START} AS ts_ms, CAST(unnest(list_append(c, n)) AS DOUBLE) AS value, 'histogram' AS type FROM h
+UNION ALL SELECT {_P} || '_sum', 'web', event_type, '', {START}, round(s, 6), 'histogram' FROM h UNION ALL SELECT {_P} || '_count', 'web', event_type, '', {START}, n, 'histogram' FROM h""",
+)
+def w7_otlp_histogram(spark, sf_dir):
+    bounds = (50.0, 100.5, 200.0)
+    v, edges = F.col("value"), [float("-inf"), *bounds, float("inf")]
+    counts = F.array(*[F.sum(F.when((v > a) & (v <= b), 1).otherwise(0)).cast("bigint") for a, b in zip(edges, edges[1:])])
+    h = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("s"), counts.alias("c"))
+    p = F.struct(F.array(_attribute("event_type", F.col("event_type"))).alias("attributes"), F.lit(START * 1_000_000).alias("timeUnixNano"), F.col("n").alias("count"), F.col("s").alias("sum"), F.col("c").alias("bucketCounts"), F.array(*map(F.lit, bounds)).alias("explicitBounds"))
+    return _flat(otlp.convert(_request(h.select(p.alias("p")), "histogram", aggregationTemporality=2)), "event_type", "le")
+
+
+@register(
+    "w8_otlp_exponential",
+    f"""WITH h AS (SELECT event_type, count(*) AS n, sum(value) AS s, count(*) FILTER (value <= 1) AS z, [count(*) FILTER (value <= 4), count(*) FILTER (value <= 16), count(*) FILTER (value <= 64), count(*) FILTER (value <= 256)] AS c FROM events GROUP BY 1)
+SELECT {_P} || '_bucket' AS name, 'web' AS service_name, event_type, unnest(['4', '16', '64', '256', '+Inf']) AS le, {START} AS ts_ms, CAST(unnest(list_append(c, n)) AS DOUBLE) AS value, 'histogram' AS type FROM h
+UNION ALL SELECT {_P} || '_sum', 'web', event_type, '', {START}, round(s, 6), 'histogram' FROM h UNION ALL SELECT {_P} || '_count', 'web', event_type, '', {START}, n, 'histogram' FROM h""",
+)
+def w8_otlp_exponential(spark, sf_dir):
+    v, edges = F.col("value"), [1.0, 4.0, 16.0, 64.0, 256.0]
+    counts = F.array(*[F.sum(F.when((v > a) & (v <= b), 1).otherwise(0)).cast("bigint") for a, b in zip(edges, edges[1:])])
+    h = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("s"), F.sum(F.when(v <= 1, 1).otherwise(0)).cast("bigint").alias("z"), counts.alias("c"))
+    buckets = F.struct(F.lit(0).alias("offset"), F.col("c").alias("bucketCounts"))
+    none = F.struct(F.lit(0).alias("offset"), F.array(F.lit(0).cast("bigint")).alias("bucketCounts"))
+    p = F.struct(F.array(_attribute("event_type", F.col("event_type"))).alias("attributes"), F.lit(START * 1_000_000).alias("timeUnixNano"), F.col("n").alias("count"), F.col("s").alias("sum"), F.lit(-1).alias("scale"), F.col("z").alias("zeroCount"), buckets.alias("positive"), none.alias("negative"))
+    return _flat(otlp.convert(_request(h.select(p.alias("p")), "exponentialHistogram", aggregationTemporality=2)), "event_type", "le")
+
+
+@register(
+    "w9_otlp_summary",
+    f"""WITH h AS (SELECT event_type, count(*) AS n, sum(value) AS s, quantile_cont(value, 0.5::DOUBLE) AS a, quantile_cont(value, 0.99::DOUBLE) AS b FROM events GROUP BY 1)
+SELECT {_P} AS name, 'web' AS service_name, event_type, unnest(['0.5', '0.99']) AS quantile, {START} AS ts_ms, round(unnest([a, b]), 6) AS value, 'summary' AS type FROM h
+UNION ALL SELECT {_P} || '_sum', 'web', event_type, '', {START}, round(s, 6), 'summary' FROM h UNION ALL SELECT {_P} || '_count', 'web', event_type, '', {START}, n, 'summary' FROM h""",
+)
+def w9_otlp_summary(spark, sf_dir):
+    h = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("s"), F.percentile("value", F.array(F.lit(0.5), F.lit(0.99))).alias("q"))
+    q = F.array(*[F.struct(F.lit(x).alias("quantile"), F.col("q")[i].alias("value")) for i, x in enumerate((0.5, 0.99))])
+    p = F.struct(F.array(_attribute("event_type", F.col("event_type"))).alias("attributes"), F.lit(START * 1_000_000).alias("timeUnixNano"), F.col("n").alias("count"), F.col("s").alias("sum"), q.alias("quantileValues"))
+    return _flat(otlp.convert(_request(h.select(p.alias("p")), "summary")), "event_type", "quantile")
+
+
+# V: similarity search.
+_Q = "(SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 7)"
+_V = "CAST(embedding AS DOUBLE[])"
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").withColumnsRenamed({"vec_id": "id", "embedding": "vector"})
+
+
+def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    return list(table(spark, sf_dir, "embeddings").where("vec_id = 7").first()["embedding"])
+
+
+def _searched(name: str, metric: str, sql_score: str, where: sim.Filter | None = None, sql_where: str = "true", order: str = "ASC") -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return sim.search(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), 20, metric, where, ["label"]).withColumn("score", F.round("score", 6))
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = f"WITH e AS (SELECT vec_id, label, {_V} AS v, {_Q} AS q FROM embeddings) SELECT vec_id AS id, round(score, 6) AS score, label FROM (SELECT *, {sql_score} AS score FROM e) WHERE {sql_where} ORDER BY (SELECT 1), score {order}, vec_id LIMIT 20".replace("ORDER BY (SELECT 1), ", "ORDER BY ").replace("round(score, 6) AS score, label FROM", "round(raw, 6) AS score, label FROM").replace(" AS score FROM e)", " AS raw FROM e)").replace("ORDER BY score", "ORDER BY raw")
+
+
+_searched("v1_l2", "l2", "list_inner_product(v, v) - 2 * list_inner_product(v, q) + list_inner_product(q, q)")
+_searched("v1_cosine", "cosine", "2 - 2 * list_cosine_similarity(v, q)")
+_searched("v1_dot", "dot", "list_inner_product(v, q)", order="DESC")
+_searched("v8_filter_eq", "l2", "list_distance(v, q) * list_distance(v, q)", sim.eq("label", 3), "label = 3")
+_searched("v8_filter_neq", "l2", "list_distance(v, q) * list_distance(v, q)", sim.neq("label", 3), "label IS DISTINCT FROM 3")
+_searched("v8_filter_in", "dot", "list_inner_product(v, q)", sim.in_("label", (1, 2)), "label IN (1, 2)", "DESC")
+_searched("v8_filter_and_or", "l2", "list_distance(v, q) * list_distance(v, q)", sim.or_(sim.eq("label", 1), sim.and_(sim.neq("label", 2), sim.Filter("lt", "label", 5))), "(label = 1 OR (label <> 2 AND label < 5))")
+_searched("v10_filter_range", "l2", "list_distance(v, q) * list_distance(v, q)", sim.Filter("gte", "label", 5), "label >= 5")
+
+
+@register("v2_normalise", f"SELECT vec_id AS id, round(list_sum(list_transform({_V}, lambda x: x / sqrt(list_inner_product({_V}, {_V})))), 6) AS total FROM embeddings")
+def v2_normalise(spark, sf_dir):
+    v = sim.normalised(sim.doubles(F.col("vector")))
+    return _vectors(spark, sf_dir).select("id", F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@register("v3_many_queries", f"WITH e AS (SELECT vec_id, {_V} AS v FROM embeddings) SELECT a.vec_id AS query_id, CAST(row_number() OVER w AS INTEGER) AS rank, b.vec_id AS id FROM e a, e b WHERE a.vec_id < 10 WINDOW w AS (PARTITION BY a.vec_id ORDER BY list_inner_product(a.v, b.v) DESC, b.vec_id) QUALIFY row_number() OVER w <= 10")
+def v3_many_queries(spark, sf_dir):
+    rows = _vectors(spark, sf_dir)
+    queries = [(r["id"], list(r["vector"])) for r in rows.where("id < 10").collect()]
+    return sim.search_many(rows, queries, 10, "dot").select("query_id", "rank", "id")
+
+
+@register("v4_index_search")
+def v4_index_search(spark, sf_dir):
+    """The partitioned index, probing pruned by epsilon (v5); recall is tested."""
+    return sim.build(_vectors(spark, sf_dir), 32).search(_query_vector(spark, sf_dir), 20, nprobe=16, epsilon=1.0, fields=["label"])
+
+
+@register("v7_index_exact", ORACLE_SQL["v1_l2"])
+def v7_index_exact(spark, sf_dir):
+    """With every centroid probed the index gives what a scan gives."""
+    return sim.build(_vectors(spark, sf_dir), 32).search(_query_vector(spark, sf_dir), 20, nprobe=32, fields=["label"]).withColumn("score", F.round("score", 6))
+
+
+@register("v13_get", "SELECT vec_id AS id, label FROM embeddings WHERE vec_id IN (3, 5, 400)")
+def v13_get(spark, sf_dir):
+    return sim.get(_vectors(spark, sf_dir), [5, 3, 10**9, 400], ["label"])
+
+
+@register("v14_upsert", "SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS label FROM embeddings WHERE vec_id % 5 <> 0")
+def v14_upsert(spark, sf_dir):
+    """Every third row is written again, every fifth deleted afterwards."""
+    rows = _vectors(spark, sf_dir)
+    log = rows.withColumns({"seq": F.lit(1), "deleted": F.lit(False)})
+    log = log.unionByName(rows.where("id % 3 = 0").withColumns({"label": F.col("label") + 100, "seq": F.lit(2), "deleted": F.lit(False)}))
+    log = log.unionByName(rows.where("id % 5 = 0").withColumns({"vector": F.lit(None).cast("array<float>"), "seq": F.lit(3), "deleted": F.lit(True)}))
+    return sim.upserted(sim.validated(log.withColumn("id", F.col("id").cast("string")), 64)).select(F.col("id").cast("bigint").alias("id"), "label")
+
+
+# T: full text.
+_TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+(?:[''.][\p{L}\p{N}_]+)*')"
+_T = f"WITH d AS (SELECT doc_id, {_TOKENS} AS t FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM d), tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM p GROUP BY ALL), st AS (SELECT count(*)::DOUBLE AS n, sum(len(t))::DOUBLE AS total, avg(len(t)) AS avgdl FROM d)"
+_TERMS = ("the", "un", "und", "de")
+_HIT = "(ln((n - df + 0.5) / (df + 0.5) + 1) * 2.2) - (ln((n - df + 0.5) / (df + 0.5) + 1) * 2.2) / (1 + tf / (1.2::DOUBLE * ((1 - 0.75::DOUBLE) + 0.75::DOUBLE * dl / avgdl)))"
+_BM = f"{_T}, hits AS (SELECT * FROM tf WHERE term IN ({', '.join(repr(t) for t in _TERMS)})), dfs AS (SELECT term, count(*)::DOUBLE AS df FROM hits GROUP BY term), sc AS (SELECT doc_id, sum({_HIT}) AS s FROM hits JOIN dfs USING (term), st GROUP BY doc_id)"
+
+
+@register("t1_tokenize", f"SELECT doc_id, CAST(len({_TOKENS}) AS INTEGER) AS n FROM documents WHERE text IS NOT NULL")
+def t1_tokenize(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.size(fulltext.tokens(F.col("text"))).alias("n"))
+
+
+@register("t2_postings", f"{_T} SELECT term, doc_id, CAST(tf AS BIGINT) AS tf, CAST(dl AS BIGINT) AS dl FROM tf")
+def t2_postings(spark, sf_dir):
+    return fulltext.postings(table(spark, sf_dir, "documents"), "text", "doc_id")
+
+
+@register("t3_stats", f"{_T} SELECT CAST(n AS BIGINT) AS n_docs, CAST(total AS BIGINT) AS total_length, round(avgdl, 6) AS avgdl FROM st")
+def t3_stats(spark, sf_dir):
+    return fulltext.stats(table(spark, sf_dir, "documents"), "text").withColumn("avgdl", F.round("avgdl", 6))
+
+
+@register("t8_bm25", f"{_BM} SELECT doc_id, lang, round(s, 6) AS score FROM sc JOIN documents USING (doc_id) ORDER BY s DESC, doc_id LIMIT 25")
+def t8_bm25(spark, sf_dir):
+    return fulltext.search(table(spark, sf_dir, "documents"), "text", "the un, UND de the", 25, fields=["lang"], id="doc_id").withColumn("score", F.round("score", 6))
+
+
+@register("t9_bm25_postings", f"{_BM} SELECT doc_id, round(s, 6) AS score FROM sc")
+def t9_bm25_postings(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return fulltext.indexed_scores(fulltext.postings(docs, "text", "doc_id"), fulltext.stats(docs, "text"), list(_TERMS), "doc_id").withColumn("score", F.round("score", 6))
+
+
+@register("t10_bm25_filtered", f"{_BM} SELECT doc_id, round(s, 6) AS score FROM sc JOIN documents USING (doc_id) WHERE lang = 'en' ORDER BY s DESC, doc_id LIMIT 25")
+def t10_bm25_filtered(spark, sf_dir):
+    return fulltext.search(table(spark, sf_dir, "documents"), "text", " ".join(_TERMS), 25, sim.eq("lang", "en"), [], "doc_id").withColumn("score", F.round("score", 6))
+
+
+# G and K: logs and key-value tables.
+_LOG = "(SELECT user_id AS key, event_id AS sequence, props AS value, epoch_us(ts) // 1000 AS time_ms, CAST(event_id // 1000 AS INTEGER) AS segment_id FROM events)"
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("sequence"), F.col("props").alias("value"), F.unix_millis(F.col("ts").cast("timestamp")).alias("time_ms"))
+    return logs.assign_segments(e, seal_entries=1000)
+
+
+@register("g1_append", "SELECT conv_id AS key, turn, CAST(row_number() OVER (ORDER BY conv_id, turn, role, text) + 999 AS BIGINT) AS sequence FROM conversations")
+def g1_append(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "key")
+    return logs.append(c, ["key", "turn", "role", "text"], 1000).select("key", "turn", "sequence")
+
+
+@register("g2_scan", f"SELECT * FROM {_LOG} WHERE key = 8 AND sequence >= 10 AND sequence < 9000")
+def g2_scan(spark, sf_dir):
+    return logs.scan(_log(spark, sf_dir), 8, 10, 9000).select("key", "sequence", "value", "time_ms", "segment_id")
+
+
+@register("g3_count", f"SELECT count(*) AS n FROM {_LOG} WHERE key = 8 AND sequence >= 10")
+def g3_count(spark, sf_dir):
+    return logs.count(_log(spark, sf_dir), 8, 10)
+
+
+@register("g4_cursors", f"SELECT key, greatest(max(sequence) + 1, 500) AS next_sequence FROM {_LOG} GROUP BY key")
+def g4_cursors(spark, sf_dir):
+    return logs.cursors(_log(spark, sf_dir), 500)
+
+
+@register("g5_list_keys", f"SELECT DISTINCT key FROM {_LOG} WHERE segment_id IN (0, 2)")
+def g5_list_keys(spark, sf_dir):
+    return logs.list_keys(_log(spark, sf_dir), [0, 2])
+
+
+_SEG = f"(SELECT segment_id, min(sequence) AS start_seq, min(time_ms) AS start_time_ms, count(*) AS entries, lead(min(sequence)) OVER (ORDER BY min(sequence)) AS end_seq FROM {_LOG} GROUP BY segment_id)"
+
+
+@register("g6_list_segments", f"SELECT * FROM {_SEG} WHERE start_seq < 2500 AND (end_seq IS NULL OR end_seq > 700)")
+def g6_list_segments(spark, sf_dir):
+    return logs.list_segments(logs.segments(_log(spark, sf_dir)), 700, 2500)
+
+
+@register("g7_assign_segments", f"SELECT sequence, CAST(time_ms // {DAY} AS INTEGER) AS segment_id FROM {_LOG}")
+def g7_assign_segments(spark, sf_dir):
+    return logs.assign_segments(_log(spark, sf_dir).drop("segment_id"), seal_ms=DAY).select("sequence", "segment_id")
+
+
+@register("g8_retention", f"WITH l AS (SELECT * REPLACE (CAST(time_ms // {DAY} AS INTEGER) AS segment_id) FROM {_LOG}), s AS (SELECT segment_id, lead(min(time_ms)) OVER (ORDER BY min(sequence)) AS e FROM (SELECT segment_id, time_ms, time_ms AS sequence FROM l) GROUP BY segment_id) SELECT count(*) AS n FROM l JOIN s USING (segment_id) WHERE e IS NULL OR NOT e < {END - 10 * DAY}")
+def g8_retention(spark, sf_dir):
+    log = logs.assign_segments(_log(spark, sf_dir).drop("segment_id", "sequence").withColumn("sequence", F.col("time_ms")), seal_ms=DAY)
+    return logs.retained(log, logs.segments(log), END, 10 * DAY).agg(F.count("*").alias("n"))
+
+
+@register("g9_inspect", f"SELECT segment_id, count(*) AS entries, count(DISTINCT key) AS keys, CAST(sum(strlen(value)) AS BIGINT) AS bytes, min(sequence) AS first, max(sequence) AS last FROM {_LOG} GROUP BY segment_id")
+def g9_inspect(spark, sf_dir):
+    return logs.inspect(_log(spark, sf_dir))
+
+
+@register("k1_put_delete", "SELECT c_custkey AS key, CASE WHEN c_custkey % 4 = 0 THEN 'changed' ELSE c_name END AS value FROM customer WHERE c_custkey % 6 <> 0")
+def k1_put_delete(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("value"), F.lit(False).alias("deleted"), F.lit(1).alias("seq"))
+    again = c.where("key % 4 = 0").withColumns({"value": F.lit("changed"), "seq": F.lit(2)})
+    gone = c.where("key % 6 = 0").withColumns({"deleted": F.lit(True), "seq": F.lit(3)})
+    return logs.latest(c.union(again).union(gone))
+
+
+@register("k2_scan", "SELECT o_orderkey AS key, o_orderpriority AS value FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 700")
+def k2_scan(spark, sf_dir):
+    return logs.scan_keys(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("value")), 100, 700)
+
+
+# U: the buffer.
+@register("u1_buffer_roundtrip", "SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY event_type")
+def u1_buffer_roundtrip(spark, sf_dir):
+    """Produced in two calls, consumed file by file, each batch written once under its number."""
+    from .streaming import ingest
+
+    folder = f"{shared_folder(spark)}/buffer-{uuid.uuid4().hex}"
+    e = table(spark, sf_dir, "events").select(F.to_json(F.struct("event_id", "event_type")).cast("binary").alias("entry"), F.col("event_id"))
+    for half in (0, 1):
+        ingest.produce(e.where(F.col("event_id") % 2 == half).drop("event_id"), f"{folder}/in", START + half)
+    parsed = lambda b: b.select(F.from_json(F.col("entry").cast("string"), "event_id bigint, event_type string").alias("e")).select("e.*")
+    ingest.exactly_once(ingest.consume(spark, f"{folder}/in", files=4), f"{folder}/checkpoint", f"{folder}/out", parsed).awaitTermination()
+    return spark.read.schema("event_id bigint, event_type string").parquet(f"{folder}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))

@@ -106,7 +106,7 @@ class Words:
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of k consecutive words, and which lie in one row."""
-        return grams(self.hash, k), self.row[k - 1 :] == self.row[: len(self.row) - k + 1]
+        return grams(self.hash, k), self.row[k - 1 :] == self.row[: max(0, len(self.row) - k + 1)]
 
 
 def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:

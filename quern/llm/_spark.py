@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -23,9 +24,21 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read back: a lineage that survives lost executors."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    """``df`` written as a compressed table to the checkpoint folder and read back: a lineage that survives lost executors."""
+    path = f"{checkpoint_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def release(*settled: DataFrame | None) -> None:
+    """Delete what settle() wrote for these; nothing that is still to run may read them."""
+    for df in settled:
+        if (path := getattr(df, "_settled_at", None)) is not None:
+            sc = df.sparkSession.sparkContext
+            where = sc._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import _bytes as B
-from ._spark import partitions, settle
+from ._spark import partitions, release, settle
 from .graph import components
 
 U = np.uint64
@@ -143,11 +143,14 @@ def linked(items: DataFrame, found: DataFrame, sets: Sets, hundredths: int, roun
     links = settle(verified(found.select("id", "pivot").distinct(), items, sets, hundredths))
     members = found.select("key", "id").union(found.select("key", F.col("pivot"))).distinct()
     tested = found.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    held = None
     for turn in range(rounds + 1):
         comps = components(links)
         m = members.join(comps, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
         open_ = m.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key")
         members = settle(m.join(open_, "key"))
+        release(held)
+        held = members
         sizes = members.groupBy("key", "c").agg(F.count("*").cast("double").alias("n"))
         per = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("s"))
         left = per.agg(F.sum((F.col("n") * F.col("n") - F.col("s")) / 2).alias("pairs"), F.sum("n").alias("n")).first()
@@ -163,9 +166,12 @@ def linked(items: DataFrame, found: DataFrame, sets: Sets, hundredths: int, roun
         pairs = pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         pairs = settle(pairs)
         more = verified(pairs.select(F.col("b").alias("id"), F.col("a").alias("pivot")), items, sets, hundredths)
-        links = settle(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
+        old, links = links, settle(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
+        release(old)
         if last:
+            release(held, pairs)
             return components(links)
-        tested = settle(tested.union(pairs))
+        old, tested = tested, settle(tested.union(pairs))
+        release(old, pairs)
         members = members.select("key", "id")
     raise AssertionError

@@ -27,7 +27,7 @@ from .banding import linked, stars
 from .neardup import band_keys, min_max, unique_by_row
 
 U = np.uint64
-SHINGLE, VALUES, ROWS, LONG = 5, 96, 6, 400
+SHINGLE, VALUES, ROWS, LONG = 5, 96, 6, 128
 
 
 def _lines(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

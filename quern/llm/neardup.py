@@ -25,14 +25,18 @@ from .graph import components
 
 U = np.uint64
 PERMUTATIONS, ROWS = 100, 5
+ROW_BITS = 11  #: a row's number in a block, beside 53 bits of hash in one sortable number
 
 
 def unique_by_row(row: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes of each row, in order, and where each row's begin, with the end."""
-    order = np.lexsort((h, row))
-    row, h = row[order], h[order]
-    one = np.concatenate(([True], (h[1:] != h[:-1]) | (row[1:] != row[:-1]))) if len(h) else np.zeros(0, bool)
-    return h[one], np.searchsorted(row[one], np.arange(rows + 1))
+    """Distinct hashes (of which the upper ``64 - ROW_BITS`` bits count) of each row, in order, and where each row's begin, with the end."""
+    if rows > 1 << ROW_BITS:
+        half = rows // 2
+        (a, at), (b, bt) = (unique_by_row(row[pick] - low, h[pick], n) for pick, low, n in ((row < half, 0, half), (row >= half, half, rows - half)))
+        return np.concatenate((a, b)), np.concatenate((at, bt[1:] + len(a)))
+    key = np.sort((row.astype(U) << U(64 - ROW_BITS)) | (h >> U(ROW_BITS)))
+    key = key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key
+    return key << U(ROW_BITS), np.searchsorted(key >> U(64 - ROW_BITS), np.arange(rows + 1).astype(U))
 
 
 def word_sets(width: int) -> Sets:

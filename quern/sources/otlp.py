@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.ieee import shortest
+from ..functions.ieee import let, shortest
 
 _ATTRIBUTES = "array<struct<key:string,value:struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean>>>"
 _NUMBER = f"struct<attributes:{_ATTRIBUTES},timeUnixNano:bigint,asDouble:double,asInt:bigint>"
@@ -31,7 +31,7 @@ UNITS = {
 def sanitised(x: Column) -> Column:
     """Dots and dashes become underscores, other signs go; no digit comes first."""
     x = F.regexp_replace(F.regexp_replace(x, r"[.\-]", "_"), r"[^A-Za-z0-9_]", "")
-    return F.when(x.rlike(r"^[0-9]"), F.concat(F.lit("_"), x)).otherwise(x)
+    return F.regexp_replace(x, r"^(?=[0-9])", "_")
 
 
 def unit_suffix(unit: Column) -> Column:
@@ -42,13 +42,17 @@ def unit_suffix(unit: Column) -> Column:
 
 
 def metric_name(name: Column, unit: Column, counter: Column) -> Column:
-    base, suffix = sanitised(name), F.concat(F.lit("_"), unit_suffix(unit))
-    full = F.when(suffix.isNotNull() & ~base.endswith(suffix), F.concat(base, suffix)).otherwise(base)
-    return F.when(counter & ~full.endswith("_total"), F.concat(full, F.lit("_total"))).otherwise(full)
+    """name_unit, or name_unit_total of a counter; what the name ends with already isn't said twice."""
+
+    def joined(p: Column) -> Column:
+        return F.when(p["suffix"].isNotNull() & ~p["name"].endswith(F.concat(F.lit("_"), p["suffix"])), F.concat(p["name"], F.lit("_"), p["suffix"])).otherwise(p["name"])
+
+    full = let(F.named_struct(F.lit("name"), sanitised(name), F.lit("suffix"), unit_suffix(unit)), joined)
+    return let(full, lambda x: F.when(counter & ~x.endswith("_total"), F.concat(x, F.lit("_total"))).otherwise(x))
 
 
 def _attributes(a: Column) -> Column:
-    """A map of attributes of simple kinds; of two with one name the last counts."""
+    """Entries of attributes of simple kinds."""
 
     def value(x: Column) -> Column:
         v = x["value"]
@@ -58,15 +62,17 @@ def _attributes(a: Column) -> Column:
     return F.filter(pairs, lambda x: x["value"].isNotNull())
 
 
-def _labels(point: Column, name: Column, extra: Column | None = None) -> Column:
-    """Of the entries that share a name the one that comes later: resource, scope, point, own, __name__."""
-    entries = F.concat(F.col("base"), _attributes(point), *([F.array(extra)] if extra is not None else []), F.array(_entry("__name__", name)))
-    last = F.filter(entries, lambda x, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda y: y["key"] == x["key"]))
-    return F.map_from_entries(last)
+def _entry(key: str, value: Column) -> Column:
+    return F.named_struct(F.lit("key"), F.lit(key), F.lit("value"), value)
 
 
-def _entry(key: str, value: Column) -> Column:
-    return F.struct(F.lit(key).alias("key"), value.alias("value"))
+def _last_of_each(entries: Column) -> Column:
+    """A map; of entries with one key the later one counts."""
+
+    def of(e: Column) -> Column:
+        return F.map_from_entries(F.filter(e, lambda x, i: F.size(F.filter(F.slice(e, i + 2, F.size(e)), lambda y: y["key"] == x["key"])) == 0))
+
+    return let(entries, of)
 
 
 def _scope(scope: Column) -> Column:
@@ -74,74 +80,82 @@ def _scope(scope: Column) -> Column:
     return F.filter(own, lambda x: x["value"].isNotNull() & (x["value"] != ""))
 
 
-def metrics(requests: DataFrame, scope_labels: bool = False) -> DataFrame:
-    """A row for each metric of the requests: base (labels of its resource and, if wanted, scope) and m."""
-    resources = requests.select(F.explode("resourceMetrics").alias("r"))
-    scopes = resources.select(_attributes(F.col("r.resource.attributes")).alias("res"), F.explode("r.scopeMetrics").alias("s"))
-    base = F.concat("res", _scope(F.col("s.scope"))) if scope_labels else F.col("res")
-    return scopes.select(base.alias("base"), F.explode("s.metrics").alias("m"))
+_POINT = "array<struct<suffix:string,own:array<struct<key:string,value:string>>,attributes:array<struct<key:string,value:string>>,ns:bigint,value:double,type:string>>"
 
 
-def _rows(df: DataFrame, name: Column, type_: Column | str, value: Column, extra: Column | None = None) -> DataFrame:
-    ms = F.expr("p.timeUnixNano div 1000000")
+def _point(p: Column, suffix: str, value: Column, type_: Column | str, own: Column | None = None) -> Column:
     kind = F.lit(type_) if isinstance(type_, str) else type_
-    return df.select(_labels(F.col("p.attributes"), name, extra).alias("labels"), ms.alias("ts_ms"), value.cast("double").alias("value"), kind.alias("type"))
+    own = F.array(own) if own is not None else F.expr("cast(array() as array<struct<key:string,value:string>>)")
+    return F.named_struct(F.lit("suffix"), F.lit(suffix), F.lit("own"), own, F.lit("attributes"), _attributes(p["attributes"]), F.lit("ns"), p["timeUnixNano"], F.lit("value"), value.cast("double"), F.lit("type"), kind)
 
 
-def convert(requests: DataFrame, scope_labels: bool = False) -> DataFrame:
-    """labels, ts_ms, value, type (gauge, counter, histogram, summary). Sums of deltas are left out."""
-    rows = metrics(requests, scope_labels)
-    plain = metric_name(F.col("m.name"), F.col("m.unit"), F.lit(False))
+def _running(counts: Column, first: Column) -> Column:
+    return F.transform(counts, lambda _, i: first + F.aggregate(F.slice(counts, 1, i + 1), F.lit(0).cast("bigint"), lambda a, x: a + x))
 
-    def points(kind: str, where: Column | None = None) -> DataFrame:
-        df = rows if where is None else rows.where(where)
-        return df.select("base", "m", plain.alias("name"), F.explode(f"m.{kind}.dataPoints").alias("p"))
 
-    number = F.coalesce(F.col("p.asDouble"), F.col("p.asInt").cast("double"))
-    gauges = _rows(points("gauge").where(number.isNotNull()), F.col("name"), "gauge", number)
+def _zero() -> Column:
+    return F.lit(0).cast("bigint")
 
-    kept = F.coalesce(F.col("m.sum.aggregationTemporality"), F.lit(0)) != DELTA
-    monotonic = F.coalesce(F.col("m.sum.isMonotonic"), F.lit(False))
-    sums = _rows(points("sum", kept).where(number.isNotNull()), metric_name(F.col("m.name"), F.col("m.unit"), monotonic), F.when(monotonic, "counter").otherwise("gauge"), number)
-
-    def running(counts: Column, first: Column) -> Column:
-        return F.transform(counts, lambda _, i: first + F.aggregate(F.slice(counts, 1, i + 1), F.lit(0).cast("bigint"), lambda a, x: a + x))
-
-    def with_total(df: DataFrame, bounds: Column, cumulative: Column, type_: str, infinite: Column) -> list[DataFrame]:
-        pairs = F.zip_with(bounds, cumulative, lambda b, c: F.named_struct(F.lit("le"), shortest(b), F.lit("n"), F.coalesce(c, F.lit(0).cast("bigint"))))
-        pairs = F.concat(pairs, F.array(F.struct(F.lit("+Inf").alias("le"), infinite.alias("n"))))
-        buckets = df.select("base", "name", "p", F.explode(pairs).alias("b"))
-        return [
-            _rows(buckets, F.concat("name", F.lit("_bucket")), type_, F.col("b.n"), _entry("le", F.col("b.le"))),
-            _rows(df.where("p.sum is not null"), F.concat("name", F.lit("_sum")), type_, F.col("p.sum")),
-            _rows(df, F.concat("name", F.lit("_count")), type_, F.coalesce(F.col("p.count"), F.lit(0))),
-        ]
-
-    longs, doubles = "cast(array() as array<bigint>)", "cast(array() as array<double>)"
-    h = points("histogram")
-    counts, bounds = F.coalesce(F.col("p.bucketCounts"), F.expr(longs)), F.coalesce(F.col("p.explicitBounds"), F.expr(doubles))
+
+def _with_total(p: Column, pairs: Column, infinite: Column, type_: str) -> Column:
+    """Points of the buckets (le, n), of all observations, of their sum if there is one, and their count."""
+    buckets = F.transform(pairs, lambda b: _point(p, "_bucket", b["n"], type_, _entry("le", b["le"])))
+    rest = F.array(_point(p, "_bucket", infinite, type_, _entry("le", F.lit("+Inf"))), _point(p, "_sum", p["sum"], type_), _point(p, "_count", F.coalesce(p["count"], _zero()), type_))
+    return F.filter(F.concat(buckets, rest), lambda x: x["value"].isNotNull())
+
+
+def _histogram(p: Column) -> Column:
     # Missing counts are zeros: as many as there are bounds, and one for what is above all of them.
-    padded = F.slice(F.concat(counts, F.array_repeat(F.lit(0).cast("bigint"), F.size(bounds) + 1)), F.lit(1), F.size(bounds) + 1)
-    cumulative = running(padded, F.lit(0).cast("bigint"))
-    histograms = with_total(h, bounds, F.slice(cumulative, F.lit(1), F.size(bounds)), "histogram", F.element_at(cumulative, -1))
-
-    e = points("exponentialHistogram")
-    positive = F.coalesce(F.col("p.positive.bucketCounts"), F.expr(longs))
-    base = F.pow(F.lit(2.0), F.pow(F.lit(2.0), -F.coalesce(F.col("p.scale"), F.lit(0))))
-    edges = F.transform(positive, lambda _, i: F.pow(base, (F.coalesce(F.col("p.positive.offset"), F.lit(0)) + i + 1).cast("double")))
-    exponential = with_total(e, edges, running(positive, F.coalesce(F.col("p.zeroCount"), F.lit(0).cast("bigint"))), "histogram", F.coalesce(F.col("p.count"), F.lit(0).cast("bigint")))
-
-    s = points("summary")
-    quantiles = s.select("base", "name", "p", F.explode("p.quantileValues").alias("q"))
-    summaries = [
-        _rows(quantiles, F.col("name"), "summary", F.col("q.value"), _entry("quantile", shortest(F.col("q.quantile")))),
-        _rows(s, F.concat("name", F.lit("_sum")), "summary", F.coalesce(F.col("p.sum"), F.lit(0.0))),
-        _rows(s, F.concat("name", F.lit("_count")), "summary", F.coalesce(F.col("p.count"), F.lit(0))),
+    bounds = F.coalesce(p["explicitBounds"], F.expr("cast(array() as array<double>)"))
+    counts = F.concat(F.coalesce(p["bucketCounts"], F.expr("cast(array() as array<bigint>)")), F.array_repeat(_zero(), F.size(bounds) + 1))
+    totals = _running(F.slice(counts, F.lit(1), F.size(bounds) + 1), _zero())
+
+    def of(t: Column) -> Column:
+        pairs = F.transform(bounds, lambda b, i: F.named_struct(F.lit("le"), shortest(b), F.lit("n"), F.get(t, i)))
+        return _with_total(p, pairs, F.element_at(t, -1), "histogram")
+
+    return let(totals, of)
+
+
+def _exponential(p: Column) -> Column:
+    """Bounds are base ** (offset + i + 1) with base 2 ** 2 ** -scale; zeros count from the first bucket on, negatives only in all."""
+    base = F.pow(F.lit(2.0), F.pow(F.lit(2.0), -F.coalesce(p["scale"], F.lit(0)).cast("double")))
+    counts = F.coalesce(p["positive"]["bucketCounts"], F.expr("cast(array() as array<bigint>)"))
+    first = F.coalesce(p["positive"]["offset"], F.lit(0))
+    totals = _running(counts, F.coalesce(p["zeroCount"], _zero()))
+    pairs = F.transform(totals, lambda n, i: F.named_struct(F.lit("le"), shortest(F.pow(base, (first + i + 1).cast("double"))), F.lit("n"), n))
+    return _with_total(p, pairs, F.coalesce(p["count"], _zero()), "histogram")
+
+
+def _summary(p: Column) -> Column:
+    quantiles = F.transform(F.coalesce(p["quantileValues"], F.expr("cast(array() as array<struct<quantile:double,value:double>>)")), lambda q: _point(p, "", q["value"], "summary", _entry("quantile", shortest(q["quantile"]))))
+    return F.concat(quantiles, F.array(_point(p, "_sum", F.coalesce(p["sum"], F.lit(0.0)), "summary"), _point(p, "_count", F.coalesce(p["count"], _zero()), "summary")))
+
+
+def convert(requests: DataFrame, scope_labels: bool = False) -> DataFrame:
+    """labels, ts_ms, value, type (gauge, counter, histogram, summary), in one pass over the requests. Sums of deltas are left out."""
+    resources = requests.select(F.explode("resourceMetrics").alias("r"))
+    scopes = resources.select(_attributes(F.col("r.resource.attributes")).alias("res"), F.explode("r.scopeMetrics").alias("s"))
+    base = F.concat("res", _scope(F.col("s.scope"))) if scope_labels else F.col("res")
+    rows = scopes.select(base.alias("base"), F.explode("s.metrics").alias("m"))
+
+    monotonic = F.coalesce(F.col("m.sum.isMonotonic"), F.lit(False))
+    number = lambda p: F.coalesce(p["asDouble"], p["asInt"].cast("double"))
+    kept = F.coalesce(F.col("m.sum.aggregationTemporality"), F.lit(0)) != DELTA
+    each = [
+        F.transform("m.gauge.dataPoints", lambda p: _point(p, "", number(p), "gauge")),
+        F.when(kept, F.transform("m.sum.dataPoints", lambda p: _point(p, "", number(p), F.when(monotonic, "counter").otherwise("gauge")))),
+        F.flatten(F.transform("m.histogram.dataPoints", _histogram)),
+        F.flatten(F.transform("m.exponentialHistogram.dataPoints", _exponential)),
+        F.flatten(F.transform("m.summary.dataPoints", _summary)),
     ]
-    out = gauges
-    for part in (sums, *histograms, *exponential, *summaries):
-        out = out.unionByName(part)
-    return out
+    none = F.expr(f"cast(array() as {_POINT})")
+    # A metric is of one kind; the others' points are null.
+    points = F.concat(*[F.coalesce(x.cast(_POINT), none) for x in each])
+    name = metric_name(F.col("m.name"), F.col("m.unit"), monotonic & F.col("m.sum").isNotNull())
+    found = rows.select("base", name.alias("name"), F.explode(points).alias("p")).where("p.value is not null")
+    entries = F.concat("base", "p.attributes", "p.own", F.array(_entry("__name__", F.concat("name", "p.suffix"))))
+    return found.select(_last_of_each(entries).alias("labels"), F.expr("p.ns div 1000000").alias("ts_ms"), F.col("p.value").alias("value"), F.col("p.type").alias("type"))
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:

@@ -86,7 +86,6 @@ CASES = [
     ("rate(http{job='api',instance='0'}[50m])", {key(job="api", instance="0"): 1 / 30}), ("increase(http[50m])", EACH), ("delta(http[50m])", EACH), ("irate(http{job='api'}[50m])", {key(job="api", instance="0"): 1 / 30, key(job="api", instance="1"): 2 / 30}),
     ("idelta(http{job='api'}[50m])", {key(job="api", instance="0"): 10, key(job="api", instance="1"): 20}), ("resets(resets[51m])", {(): 3}), ("changes(resets[51m])", {(): 9}), ("changes(odd[51m])", {key(x=x): 0 for x in ("nan", "inf", "-inf", "1")}),
     ("irate(resets[20m] offset 20m)", {(): 0}), ("idelta(resets[10m] @ 900)", {(): -7}), ("irate(resets[10m] @ 900)", {(): 3 / 300}),
-    ("increase(resets[50m])", {(): 31 * (2700 + 300 + 0) / 2700 if False else pytest.approx(0, abs=1e9)}),
     ("sum_over_time(resets[51m])", {(): 49}), ("avg_over_time(resets[51m])", {(): 49 / 11}), ("min_over_time(resets[51m])", {(): 0}), ("max_over_time(resets[51m])", {(): 10}), ("count_over_time(resets[15m])", {(): 3}), ("last_over_time(resets[15m])", {key(name_="resets"): 4}),
     ("stddev_over_time(resets[10m])", {(): 1}), ("stdvar_over_time(resets[10m])", {(): 1}), ("quantile_over_time(0.5, resets[15m])", {(): 4}), ("present_over_time(resets[15m])", {(): 1}), ("max_over_time(odd{x='nan'}[15m])", {key(x="nan"): NAN}), ("rate(resets[5m])", {}),
     ("max_over_time(sum(http)[20m:10m])", {(): 1000}), ("sum_over_time(vector(1)[10m:1m])", {(): 10}), ("count_over_time(http{job='api',instance='0'}[20m:7m])", {key(job="api", instance="0"): 3}), ("min_over_time((http{job='api',instance='0'} * 2)[20m:5m] offset 5m)", {key(job="api", instance="0"): 120}),
@@ -98,7 +97,6 @@ CASES = [
     ("label_replace(limit, 'k', '$1-${2}', 'job', '(a)(.*)')", {key(name_="limit", job="api", k="a-pi"): 1000, key(name_="limit", job="app", k="a-pp"): 2000}), ("label_replace(limit, 'job', '', 'job', 'api')", {key(name_="limit"): 1000, key(name_="limit", job="app"): 2000}), ("label_replace(limit, 'k', 'x', 'job', 'pi')", {key(name_="limit", job="api"): 1000, key(name_="limit", job="app"): 2000}),
     ("label_join(limit, 'k', '-', 'job', 'none', 'job')", {key(name_="limit", job="api", k="api--api"): 1000, key(name_="limit", job="app", k="app--app"): 2000}),
 ]
-CASES = [c for c in CASES if not c[0].startswith("increase(resets")]
 
 
 @pytest.mark.parametrize("query,want", CASES, ids=[c[0] for c in CASES])
@@ -136,8 +134,8 @@ def test_range_query_agrees_with_instant_queries(data):
     for q in ("http", "rate(http[12m])", "sum by (job) (max_over_time(http[20m]))", "http offset 3m", "avg_over_time(resets[40m])", "min_over_time(sum(http)[20m:3m])", "http > 100 or limit", "last_over_time(gone[30m])", "resets @ 1200", "scalar(limit{job='api'}) + time()"):
         many = e.range(q, 0, 60 * MIN, 4 * MIN).collect()
         for at in range(0, 61 * MIN, 20 * MIN):
-            one = {(str(sorted(r["labels"].items())) if "labels" in r else "", round(r["value"], 9)) for r in e.instant(q, at).collect()}
-            assert one == {(str(sorted(r["labels"].items())) if "labels" in r else "", round(r["value"], 9)) for r in many if r["ts_ms"] == at}, (q, at)
+            flat = lambda rows: {(str(sorted(r["labels"].items())) if "labels" in r else "", f"{r['value']:.9f}") for r in rows}
+            assert flat(e.instant(q, at).collect()) == flat(r for r in many if r["ts_ms"] == at), (q, at)
 
 
 def test_wide_and_normalised_tables_agree(spark, data):
@@ -190,7 +188,7 @@ def test_constants_are_folded_and_matchers_kept_once():
 
 def test_explain_shows_query_and_plan(data):
     said = Engine(data).explain("sum by (job) (rate(http[5m]))", 0, 60 * MIN, MIN)
-    assert "Aggregate(op='sum'" in said and "Physical Plan" in said and "WholeStageCodegen" in said or "codegen id" in said
+    assert "Aggregate(op='sum'" in said and "Physical Plan" in said and "HashAggregate" in said
 
 
 def test_topk_at_the_root_comes_in_order(data):

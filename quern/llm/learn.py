@@ -12,10 +12,10 @@ def fold(doc_id: str, folds: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % folds
 
 
-def sample(rows: DataFrame, label: str, most: int) -> DataFrame:
-    """About ``most`` rows of each label at most, by a hash of the row; all of a label that has no more."""
+def sample(rows: DataFrame, label: str, most: int, by: str = "text") -> DataFrame:
+    """About ``most`` rows of each label at most, by a hash of ``by``; all of a label that has no more."""
     counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
-    luck = F.pmod(F.xxhash64("text", label), F.lit(1 << 40)) / float(1 << 40)
+    luck = F.pmod(F.xxhash64(by, label), F.lit(1 << 40)) / float(1 << 40)
     return rows.join(F.broadcast(counts.orderBy(F.desc("_n")).limit(1024)), label).where(luck * F.col("_n") < most).drop("_n")
 
 

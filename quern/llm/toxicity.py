@@ -8,8 +8,8 @@ sample of labelled documents, at most about ``most`` of each label. Words are co
 table of fixed size; texts are taken whole.
 
 Defined results: null text or text without words: the score of no shares. No training document of either label: score 0.5 * the
-share of toxic ones, that is 0 if none. Null doc_id: held out. Null labels: not trained on. Several labels of one doc_id:
-each trains. Repeated rows: each is a row. Other columns: ignored.
+share of toxic ones, that is 0 if none. Null doc_id: held out. Null labels: not trained on. Different labels of one doc_id:
+each trains; a label repeated counts once. Repeated rows: each is a row. Other columns: ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from . import _bytes as B
-from ._spark import small_batches
+from ._spark import settle, small_batches
 from .learn import fold, made, sample
 
 U = np.uint64
@@ -160,11 +160,15 @@ def _score(shared):
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 2500) -> bytes | None:
-    """A model from documents of the training fold with a label: at most about ``most`` ordinary and as many toxic ones."""
+    """A model from documents of the training fold with a label: at most about ``most`` ordinary and as many toxic ones.
+
+    Labels are sampled before they meet documents, so that what is broadcast has that bound and no text is dealt out.
+    """
     small_batches(docs.sparkSession)
-    marked = labels.where(F.col("toxic").isin(0, 1) & (fold("doc_id", 5) != 0)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(marked, "doc_id").select("text", "toxic")
-    return made(sample(rows, "toxic", most), _train)
+    marked = labels.where(F.col("toxic").isin(0, 1) & (fold("doc_id", 5) != 0)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
+    few = settle(sample(marked, "toxic", most, by="doc_id"))
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "toxic")
+    return made(rows, _train)
 
 
 def score(docs: DataFrame, model: bytes | None) -> DataFrame:

@@ -156,7 +156,7 @@ promql("l2_label_join", 'label_join(events_value, "both", "/", "event_type", "us
 
 # A: aggregations.
 for _n, _f, _x in (("a1_sum", "sum", "sum(value)"), ("a2_avg", "avg", "avg(value)"), ("a3_min", "min", "min(value)"), ("a4_max", "max", "max(value)"), ("a5_count", "count", "count(*)"), ("a6_stddev", "stddev", "stddev_pop(value)"), ("a7_stdvar", "stdvar", "var_pop(value)"), ("a8_group", "group", "1")):
-    promql(f"{_n}_by", f"{_f} by (event_type) (events_value)", f"SELECT event_type, step AS ts_ms, CAST({_x} AS DOUBLE) AS value FROM inst GROUP BY event_type, step", 4)
+    promql(f"{_n}_by", f"{_f} by (event_type) (events_value)", f"SELECT event_type, step AS ts_ms, CAST({_x} AS DOUBLE) AS value FROM inst GROUP BY event_type, step", 7)
 promql("a1_sum_without", "sum without (user_id) (events_value)", "SELECT event_type, step AS ts_ms, sum(value) AS value FROM inst GROUP BY event_type, step")
 promql("a1_sum_all", "sum(events_value)", "SELECT step AS ts_ms, sum(value) AS value FROM inst GROUP BY step")
 for _n, _f, _o in (("a9_topk", "topk", "DESC"), ("a10_bottomk", "bottomk", "ASC")):

@@ -57,7 +57,7 @@ class Metrics:
     series: DataFrame | None = None
     metadata: DataFrame | None = None  # metric, type, help, unit
     fixed: dict[str, str] = field(default_factory=dict)  # labels that all rows share (wide)
-    within: Callable[[int, int], DataFrame] | None = None  # samples after one time and up to another, by a filter that reaches the scan
+    within: Callable[[int, int, tuple[Matcher, ...]], DataFrame] | None = None  # samples after one time and up to another, by filters that reach the scan
 
     @staticmethod
     def wide(df: DataFrame, labels: dict[str, Column], ts_ms: Column, value: Column, name: str | None = None, stale: Column | None = None, newest: Column | None = None, metadata: DataFrame | None = None, time: str | None = None) -> Metrics:
@@ -72,9 +72,15 @@ class Metrics:
                 return found
             return found.groupBy(*map(col, labels), "ts_ms").agg(F.max_by("value", "_seq").alias("value"), F.max_by("stale", "_seq").alias("stale"))
 
-        def within(after: int, upto: int) -> DataFrame:
+        text = {x for x, c in labels.items() if df.select(c).schema[0].dataType.simpleString() == "string"}
+
+        def within(after: int, upto: int, matchers: tuple[Matcher, ...]) -> DataFrame:
             low, high = (F.lit(datetime(1970, 1, 1) + timedelta(milliseconds=x + 1)).cast("timestamp_ntz") for x in (after, upto))
-            return of_rows(df.where((F.col(time) >= low) & (F.col(time) < high)))
+            wanted = (F.col(time) >= low) & (F.col(time) < high)
+            for m in matchers:
+                if m.op == "=" and m.value and m.name in text:
+                    wanted = wanted & (labels[m.name] == F.lit(m.value))
+            return of_rows(df.where(wanted))
 
         return Metrics(of_rows(df), (*((NAME,) if name else ()), *labels), None, metadata, {NAME: name} if name else {}, within if time else None)
 
@@ -96,7 +102,7 @@ class Metrics:
     def read(self, matchers: tuple[Matcher, ...], after: int, upto: int) -> Read:
         """Samples of matching series in (after, upto]."""
         one = NAME not in self.labels or NAME in self.fixed or any(m.name == NAME and m.op == "=" for m in matchers)
-        samples = self.within(after, upto) if self.within else self.samples.where((F.col("ts_ms") > after) & (F.col("ts_ms") <= upto))
+        samples = self.within(after, upto, matchers) if self.within else self.samples.where((F.col("ts_ms") > after) & (F.col("ts_ms") <= upto))
         if "bucket_hour" in samples.columns:  # folders, so that others are not opened
             samples = samples.where(F.col("bucket_hour").between((after + 1) // HOUR, upto // HOUR))
         wanted = None

@@ -159,4 +159,6 @@ def convert(requests: DataFrame, scope_labels: bool = False) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SCHEMA).json(path)
+    """Requests as JSON, whose 64-bit integers are numbers or strings."""
+    name, kind = SCHEMA.split(" ", 1)
+    return spark.read.schema(SCHEMA.replace("bigint", "string")).json(path).select(F.col(name).cast(kind).alias(name))

@@ -282,7 +282,7 @@ def test_discovery(spark):
 
 
 def test_active_series(spark):
-    rows = spark.range(3000).select((F.col("id") % 500).alias("s"), (F.col("id") // 100 * 60_000).alias("ts_ms"))
+    rows = spark.range(3000).select((F.col("id") % 500).alias("s"), (F.floor(F.col("id") / 100) * 60_000).alias("ts_ms"))
     got = {r["minute"]: r["active"] for r in discovery.active_series(rows, ["s"]).collect()}
     assert abs(got[0] - 100) <= 5 and abs(got[20] - 500) <= 25 and max(got) == 29 + 14
 

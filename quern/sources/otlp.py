@@ -158,6 +158,11 @@ def convert(requests: DataFrame, scope_labels: bool = False) -> DataFrame:
     return found.select(_last_of_each(entries).alias("labels"), F.expr("p.ns div 1000000").alias("ts_ms"), F.col("p.value").alias("value"), F.col("p.type").alias("type"))
 
 
+def parsed(text: Column) -> Column:
+    """A request's JSON, whose 64-bit integers are numbers or strings, as the schema has it."""
+    return F.from_json(text, SCHEMA.replace("bigint", "string"))["resourceMetrics"].cast(SCHEMA.split(" ", 1)[1])
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """Requests as JSON, whose 64-bit integers are numbers or strings."""
     name, kind = SCHEMA.split(" ", 1)

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources import otlp
 from ..sources.metrics import HOUR, labels_key, series_id
 
 BUFFER = "entry binary, payload binary, ingestion_time_ms bigint"
@@ -47,6 +48,12 @@ def samples_of(rows: DataFrame) -> DataFrame:
     return rows.select(series_id(F.col("labels")).alias("series_id"), "labels", "ts_ms", "value", F.floor(F.col("ts_ms") / HOUR).cast("bigint").alias("bucket_hour"))
 
 
+def otlp_samples(batch: DataFrame) -> DataFrame:
+    """A buffer's batch of OTLP requests (JSON) as samples to be stored: what exactly_once() takes to convert."""
+    requests = batch.select(otlp.parsed(F.col("entry").cast("string")).alias("resourceMetrics"))
+    return samples_of(otlp.convert(requests))
+
+
 def active_series(stream: DataFrame, late: str = "5 minutes", width: str = "15 minutes", slide: str = "1 minute") -> DataFrame:
     """window, active: estimated series with a sample in each sliding window. ``stream``: labels, ts (timestamp)."""
     return stream.withWatermark("ts", late).groupBy(F.window("ts", width, slide)).agg(F.approx_count_distinct(labels_key(F.col("labels"))).alias("active"))

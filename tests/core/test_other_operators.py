@@ -303,6 +303,15 @@ def test_buffer_is_consumed_once(spark, tmp_path):
     assert sorted(r["e"] for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
 
 
+def test_otlp_comes_through_the_buffer(spark, tmp_path):
+    body = '{"resourceMetrics":[{"scopeMetrics":[{"metrics":[{"name":"m","gauge":{"dataPoints":[{"timeUnixNano":"3600000000000","asInt":"7"}]}}]}]}]}'
+    into, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    ingest.produce(spark.createDataFrame([(body.encode(),)], "entry binary"), into, 1)
+    ingest.exactly_once(ingest.consume(spark, into), mark, out, ingest.otlp_samples).awaitTermination()
+    got = spark.read.parquet(out).collect()
+    assert [(r["labels"], r["ts_ms"], r["value"], r["bucket_hour"]) for r in got] == [({"__name__": "m"}, 3_600_000, 7.0, 1)]
+
+
 def test_segments_roll_in_a_stream(spark, tmp_path):
     rows = spark.createDataFrame([("l", b"k", b"v" * 10, t) for t in (0, 5, 12, 13, 30)], "log string, key binary, value binary, time_ms long").coalesce(1)
     rows.write.parquet(str(tmp_path / "in"))

@@ -27,12 +27,13 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> U(30))
-    x *= U(0xBF58476D1CE4E5B9)
-    x ^= x >> U(27)
-    x *= U(0x94D049BB133111EB)
-    x ^= x >> U(31)
-    return x
+    y = x >> U(30)
+    y ^= x
+    y *= U(0xBF58476D1CE4E5B9)
+    y ^= y >> U(27)
+    y *= U(0x94D049BB133111EB)
+    y ^= y >> U(31)
+    return y
 
 
 def byte_values(apart: bytes = b"", lower: bool = False) -> np.ndarray:
@@ -125,10 +126,10 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, U)
-    out, c = h[:n].copy(), 1
-    for j in range(1, k):
-        c = c * GRAM % 2**64
-        out += h[j : n + j] * U(c)
+    out = h[k - 1 :].copy()
+    for j in range(k - 2, -1, -1):  # by Horner's rule, in place
+        out *= U(GRAM)
+        out += h[j : n + j]
     return mix(out)
 
 

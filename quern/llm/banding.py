@@ -138,40 +138,67 @@ def verified(pairs: DataFrame, items: DataFrame, sets: Sets, hundredths: int) ->
     return both.repartition(n, "pivot", "salt").sortWithinPartitions("pivot", "salt", F.col("id") != F.col("pivot")).mapInArrow(_verify(sets, hundredths), "a long, b long")
 
 
-def linked(items: DataFrame, found: DataFrame, sets: Sets, hundredths: int, rounds: int = 4) -> DataFrame:
-    """id, component of all items with a link inside a band group. ``found``: settled stars (key, id, pivot)."""
-    links = settle(verified(found.select("id", "pivot").distinct(), items, sets, hundredths))
+def _open_pairs(pairs: DataFrame, comps: DataFrame, tested: DataFrame) -> DataFrame:
+    """The pairs (a, b) that were not compared and do not already belong together."""
+    for end in ("a", "b"):
+        pairs = pairs.join(comps.select(F.col("id").alias(end), F.col("component").alias(f"_{end}")), end, "left")
+    apart = F.coalesce("_a", "a") != F.coalesce("_b", "b")
+    return pairs.where(apart).select("a", "b").join(tested, ["a", "b"], "left_anti")
+
+
+def linked(items: DataFrame, found: DataFrame, sets: Sets, hundredths: int, rounds: int = 4, pivots: int = 3, parts: int = 3) -> DataFrame:
+    """id, component of all items with a link inside a band group. ``found``: settled stars (key, id, pivot).
+
+    First each item is compared with the least of its pivots: that joins most of what belongs together at one comparison an item,
+    whatever the number of its groups. Then with those of its other pivots that it is still apart from. While groups in several
+    components have many open pairs, some further pivots of each are compared with it, ``rounds`` times at most; at last all
+    pairs that are still open, in one of ``parts`` of the groups after the other, as what one part links need not be compared again.
+    """
     members = found.select("key", "id").union(found.select("key", F.col("pivot"))).distinct()
-    tested = found.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-    held = None
-    for turn in range(rounds + 1):
+    links = comps = tested = None
+
+    def compare(pairs: DataFrame) -> None:
+        nonlocal links, comps, tested
+        pairs = settle(pairs)
+        more = verified(pairs.select(F.col("b").alias("id"), F.col("a").alias("pivot")), items, sets, hundredths)
+        old, links = links, settle(more if links is None else comps.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
+        release(old)
         comps = components(links)
-        m = members.join(comps, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-        open_ = m.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key")
-        members = settle(m.join(open_, "key"))
-        release(held)
-        held = members
-        sizes = members.groupBy("key", "c").agg(F.count("*").cast("double").alias("n"))
+        old, tested = tested, pairs if tested is None else settle(tested.union(pairs))
+        if old is not None:
+            release(old, pairs)
+
+    def still_open(part: int | None = None) -> DataFrame:
+        """key, id, c of the groups of three or more that are in several components (of two, the only pair was compared)."""
+        m = members if part is None else members.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == part)
+        m = m.join(comps, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+        groups = m.groupBy("key").agg(F.min("c").alias("_x"), F.max("c").alias("_y"), F.count("*").alias("_n")).where("_x < _y and _n > 2")
+        return settle(m.join(groups.select("key"), "key"))
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+
+    compare(found.groupBy("id").agg(F.min("pivot").alias("a")).select("a", F.col("id").alias("b")))
+    compare(_open_pairs(ordered(found), comps, tested))
+    for turn in range(rounds):
+        open_ = still_open()
+        sizes = open_.groupBy("key", "c").agg(F.count("*").cast("double").alias("n"))
         per = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("s"))
         left = per.agg(F.sum((F.col("n") * F.col("n") - F.col("s")) / 2).alias("pairs"), F.sum("n").alias("n")).first()
         if not left["n"]:
+            release(open_)
             return comps
-        last = turn == rounds or left["pairs"] <= 4 * left["n"] + 10_000
-        side = members.select("key", F.col("id").alias("pivot"), F.col("c").alias("d"))
-        if not last:  # eight components' pivots for each group
-            w = Window.partitionBy("key").orderBy(F.xxhash64("d", F.lit(turn)))
-            side = side.groupBy("key", "d").agg(F.min_by("pivot", F.xxhash64("pivot", F.lit(turn))).alias("pivot"))
-            side = side.withColumn("r", F.row_number().over(w)).where("r <= 8").drop("r")
-        pairs = members.join(side, "key").where(F.col("c") < F.col("d") if last else F.col("c") != F.col("d"))
-        pairs = pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = settle(pairs)
-        more = verified(pairs.select(F.col("b").alias("id"), F.col("a").alias("pivot")), items, sets, hundredths)
-        old, links = links, settle(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
-        release(old)
-        if last:
-            release(held, pairs)
-            return components(links)
-        old, tested = tested, settle(tested.union(pairs))
-        release(old, pairs)
-        members = members.select("key", "id")
-    raise AssertionError
+        if left["pairs"] <= 2 * left["n"] + 10_000:
+            release(open_)
+            break
+        w = Window.partitionBy("key").orderBy(F.xxhash64("d", F.lit(turn)))
+        side = open_.groupBy("key", F.col("c").alias("d")).agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("pivot"))
+        side = side.withColumn("r", F.row_number().over(w)).where(F.col("r") <= pivots).drop("r")
+        compare(_open_pairs(ordered(open_.join(side, "key").where("c <> d")), comps, tested))
+        release(open_)
+    for part in range(parts):
+        open_ = still_open(part)
+        side = open_.select("key", F.col("id").alias("pivot"), F.col("c").alias("d"))
+        compare(_open_pairs(ordered(open_.join(side, "key").where("c < d")), comps, tested))
+        release(open_)
+    return comps

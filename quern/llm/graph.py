@@ -54,9 +54,10 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame) -> DataFrame:
     """id, component (the least id reachable) of each end of ``links`` (longs a, b; any order, repeats, loops).
 
-    Tasks first replace the links they hold, a bounded lot at a time, by stars that link the same vertices. Then each round is two
-    aggregations and joins on all links; the number of links never grows, and every round's links are written down.
-    A vertex with very many links is a skewed join key, which adaptive execution splits.
+    Tasks first replace the links they hold, a lot of at most ``_LOT`` at a time, by stars that link the same vertices. What then fits
+    one lot is finished by one task on an executor. For more, each round is two aggregations and joins on all links; the number
+    of links never grows, and every round's links are written down. A vertex with very many links is a skewed join key,
+    which adaptive execution splits.
     """
     e = links.where("a <> b").select("a", "b").mapInArrow(_contract, "u long, v long").distinct()
     mark, old = None, None
@@ -65,6 +66,10 @@ def components(links: DataFrame) -> DataFrame:
         release(old)
         old = e
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if 0 < now[0] <= _LOT and mark is None:
+            e = settle(e.repartition(1).mapInArrow(_contract, "u long, v long"))
+            release(old)
+            mark = now
         if now == mark or now[0] == 0:
             return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
         mark = now

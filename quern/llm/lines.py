@@ -60,22 +60,33 @@ def char_sets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return unique_by_row(row, h, len(at) - 1)
 
 
+_BYTES = (np.uint64(1) << (np.uint64(8) * np.arange(5, dtype=U))) - U(1)  #: masks of 0 to 4 bytes
+
+
 def _shingles(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of each character shingle, by row."""
     lead = np.flatnonzero((data & 0xC0) != 0x80)  # the first byte of each character
-    view, size = B.eights(data), np.diff(np.concatenate((lead, [len(data)])))
-    chars = B.mix((view[lead] & ((U(1) << (U(8) * size.astype(U))) - U(1))) + U(1))
-    first = np.searchsorted(lead, at)
-    row = np.repeat(np.arange(len(at) - 1), np.diff(first))
+    if len(lead) == len(data):
+        chars, first = (data.astype(U) + U(1)) * U(B.BASE), at
+    else:
+        size = np.minimum(np.diff(lead, append=len(data)), 4)
+        chars, first = ((B.eights(data)[lead] & _BYTES[size]) + U(1)) * U(B.BASE), np.searchsorted(lead, at)
+    n = np.diff(first)
+    row = np.repeat(np.arange(len(n)), n)
     h = B.grams(chars, SHINGLE)
     ok = row[SHINGLE - 1 :] == row[: len(h)]
-    parts, rows = [h[ok]], [row[: len(h)][ok]]
-    n = np.diff(first)
+    h, row_h = h[ok], row[: len(h)][ok]
+    parts, rows = [h], [row_h]
     for k in range(1, SHINGLE):
         few = np.flatnonzero(n == k)
         if len(few):
             parts.append(B.mix(B.grams(chars, k)[first[few]] + U(k)))
             rows.append(few)
-    return np.concatenate(rows), np.concatenate(parts)
+    if len(parts) == 1:
+        return row_h, h
+    row, h = np.concatenate(rows), np.concatenate(parts)
+    by = np.argsort(row, kind="stable")
+    return row[by], h[by]
 
 
 def _bins(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
@@ -83,14 +94,14 @@ def _bins(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     none = U(2**64 - 1)
     out = np.full((rows, VALUES), none, U)
     np.minimum.at(out.reshape(-1), row * VALUES + (((h >> U(32)) * U(VALUES)) >> U(32)).astype(np.int64), h)
-    for _ in range(VALUES):
-        i, j = np.nonzero(out == none)
-        if not len(i):
-            break
+    i, j = np.nonzero(out == none)
+    while len(i):  # only what is still empty is looked at again
         got = out[i, (j + 1) % VALUES]
-        out[i, j] = np.where(got == none, none, got + U(B.GRAM))
-        if (got == none).all():
+        full = got != none
+        if not full.any():
             break
+        out[i[full], j[full]] = got[full] + U(B.GRAM)
+        i, j = i[~full], j[~full]
     return out
 
 
@@ -104,7 +115,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, data, at in B.blocks(batches, limit=1 << 20):
+    for batch, data, at in B.blocks(batches, limit=1 << 18):
         _, _, start, end = _lines(data, at)
         ids = _ids(data, start, end)[:, 0]
         ids, one = np.unique(ids, return_index=True)
@@ -112,21 +123,22 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = end[one] - start[one]
         text, where = data[B.spread(start[one], size)], np.concatenate(([0], np.cumsum(size)))
         row, h = _shingles(text, where)
-        by = np.argsort(row, kind="stable")
-        row, h = row[by], h[by]
         n = np.bincount(row, minlength=len(one))
-        keys: list[list[bytes]] = [[] for _ in one]
+        bands = [b""] * len(one)
         for kind, take in enumerate((n <= LONG * 5 // 4, n >= LONG)):
-            if take.any():
-                which = np.flatnonzero(take)
-                inside = take[row]
-                if kind:
-                    values = _bins(h[inside], np.searchsorted(which, row[inside]), len(which))
-                else:
-                    values = min_max(h[inside], np.concatenate(([0], np.cumsum(n[which]))), VALUES // 2)
-                for i, k in zip(which, band_keys(values, ROWS, 1000 * kind)):
-                    keys[i].append(k.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([b"".join(k) for k in keys], pa.binary())], names=["id", "bands"])
+            which = np.flatnonzero(take)
+            if not len(which):
+                continue
+            inside, place = take[row], np.cumsum(take) - 1
+            if kind:
+                values = _bins(h[inside], place[row[inside]], len(which))
+            else:
+                values = min_max(h[inside], np.concatenate(([0], np.cumsum(n[which]))), VALUES // 2)
+            keys = band_keys(values, ROWS, 1000 * kind).tobytes()
+            width = len(keys) // len(which)
+            for i, k in enumerate(which.tolist()):
+                bands[k] += keys[i * width : (i + 1) * width]
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(bands, pa.binary())], names=["id", "bands"])
 
 
 def _of_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -191,9 +191,15 @@ def linked(items: DataFrame, found: DataFrame, sets: Sets, hundredths: int, roun
         if left["pairs"] <= 2 * left["n"] + 10_000:
             release(open_)
             break
-        w = Window.partitionBy("key").orderBy(F.xxhash64("d", F.lit(turn)))
-        side = open_.groupBy("key", F.col("c").alias("d")).agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("pivot"))
-        side = side.withColumn("r", F.row_number().over(w)).where(F.col("r") <= pivots).drop("r")
+        # What shares groups with most others is likely linked to most of them: the text that a group's near copies were made from.
+        # Every other round takes pivots by chance, so that others are tried.
+        by = open_.withColumn("w", F.xxhash64("id", F.lit(turn)))
+        if turn % 2 == 0:
+            sizes = open_.groupBy("key").agg(F.count("*").alias("n"))
+            by = open_.join(open_.join(sizes, "key").groupBy("id").agg(F.sum("n").alias("w")), "id")
+        w = Window.partitionBy("key").orderBy(F.desc("w"), "d")
+        side = by.groupBy("key", F.col("c").alias("d")).agg(F.max_by("id", "w").alias("pivot"), F.max("w").alias("w"))
+        side = side.withColumn("r", F.row_number().over(w)).where(F.col("r") <= pivots).drop("r", "w")
         compare(_open_pairs(ordered(open_.join(side, "key").where("c <> d")), comps, tested))
         release(open_)
     for part in range(parts):

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,16 +13,18 @@ BLOCK = (4 << 20) - 64
 BASE, GRAM, RUN = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95, 0xC6BC279692B5CC83
 
 
-@cache
-def _table(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    forward, back = np.full(n, base, U), np.full(n, pow(base, -1, 2**64), U)
-    forward[0] = back[0] = 1
-    return np.cumprod(forward, dtype=U), np.cumprod(back, dtype=U)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64."""
-    forward, back = _table(base, 1 << max(16, int(n).bit_length()))
+    """base**i and base**-i modulo 2**64. One table a base is kept, as long as the longest so far."""
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
+        size = ((max(n, 1) >> 18) + 1) << 18
+        _POWERS.pop(base, None)
+        forward, back = np.full(size, base, U), np.full(size, pow(base, -1, 2**64), U)
+        forward[0] = back[0] = 1
+        _POWERS[base] = np.cumprod(forward, dtype=U, out=forward), np.cumprod(back, dtype=U, out=back)
+    forward, back = _POWERS[base]
     return forward[:n], back[:n]
 
 
@@ -67,8 +69,10 @@ def longs(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
 
-def blocks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = BLOCK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of at most about ``limit`` bytes of text, or one row."""
+def blocks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = BLOCK, first: bool = True) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of at most about ``limit`` bytes of text, or one row. ``first``: the task calls this once."""
+    if first:
+        gc.collect()  # a worker that is used again still holds the last task's functions, and their tables, in cycles
     for batch in batches:
         data, at = texts(batch.column(text))
         i = 0

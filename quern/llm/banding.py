@@ -105,7 +105,7 @@ def _verify(sets: Sets, hundredths: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot, mine = None, None
         for batch in batches:
-            for part, data, at in B.blocks(batch for batch in [batch]):
+            for part, data, at in B.blocks([batch], first=False):
                 have, cut = sets(data, at)
                 ids, pivots = B.longs(part.column("id")), B.longs(part.column("pivot"))
                 links = []

@@ -21,5 +21,5 @@ def sample(rows: DataFrame, label: str, most: int, by: str = "text") -> DataFram
 
 def made(rows: DataFrame, train, fallback: bytes | None = None) -> bytes | None:
     """What ``train`` (an Arrow mapper of one task) makes of a bounded sample."""
-    got = settle(rows.repartition(1).mapInArrow(train, "model binary")).head()
+    got = settle(rows.repartition(1).sortWithinPartitions(*rows.columns).mapInArrow(train, "model binary")).head()
     return bytes(got["model"]) if got is not None else fallback

@@ -57,7 +57,7 @@ def _pieces(json: str, ranks: str | None, size: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoders(json, ranks)
         for whole in batches:
-            for batch, _, _ in B.blocks([whole]):
+            for batch, _, _ in B.blocks([whole], first=False):
                 rows = []
                 texts = [t or "" for t in batch.column("text").to_pylist()]
                 one = list(dict.fromkeys(texts))

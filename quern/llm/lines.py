@@ -3,7 +3,7 @@
 A line is what stands between line feeds. Lines with no sign but white space are never removed. A line's set is its distinct
 shingles of ``SHINGLE`` characters (fewer characters: the whole line). Signatures of 96 values in 16 bands of 6 rows find
 candidates: pairs of similarity 0.8 with probability 0.992, of 0.85 with 0.9995, of 0.9 with 1 - 5e-6. Lines of up to
-``LONG`` shingles take minimum and maximum of 48 permutations; longer ones one permutation in 96 bins, where empty bins
+``LONG`` distinct shingles take minimum and maximum of 48 permutations; longer ones one permutation in 96 bins, where empty bins
 borrow from the next; lines of sizes that may pair across this border have both kinds of bands. Candidates are confirmed by
 exact Jaccard similarity on whole lines; distributed union-find makes components. Of each component, equal lines included,
 the line that comes first by (doc_id, line number) stays.
@@ -124,8 +124,14 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, where = data[B.spread(start[one], size)], np.concatenate(([0], np.cumsum(size)))
         row, h = _shingles(text, where)
         n = np.bincount(row, minlength=len(one))
+        # The size of a set is what counts; a line of fewer shingles than LONG has no more distinct ones.
+        size, many = n.copy(), np.flatnonzero(n >= LONG)
+        if len(many):
+            big = n >= LONG
+            inside = big[row]
+            size[many] = np.diff(unique_by_row((np.cumsum(big) - 1)[row[inside]], h[inside], len(many))[1])
         bands = [b""] * len(one)
-        for kind, take in enumerate((n <= LONG * 5 // 4, n >= LONG)):
+        for kind, take in enumerate((size <= LONG * 5 // 4, size >= LONG)):
             which = np.flatnonzero(take)
             if not len(which):
                 continue

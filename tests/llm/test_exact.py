@@ -70,6 +70,17 @@ def test_lines(table):
     assert found == sorted(brute.op10(data))
 
 
+def test_lines_whose_shingles_repeat(spark):
+    """Equal or nearly equal sets of shingles in lines of other lengths, on either side of the border of the two kinds of bands."""
+    rng = random.Random(6)
+    sentence = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    texts = ["=" * 100, "=" * 300, *(x for n in (90, 120, 128, 150, 200) for s in [sentence(n)] for x in (s, s + s, s * 3))]
+    data = list(enumerate(texts))
+    found = rows_of(lines.dedup_lines(spark.createDataFrame(data, "doc_id long, text string")), "doc_id", "n_lines", "n_removed", "kept_sha256")
+    assert found == sorted(brute.op10(data))
+    assert sum(r[2] for r in found) == 11
+
+
 def test_lines_keep_other_columns(odd):
     out = lines.dedup_lines(odd[1])
     assert set(DOCS.replace(",", "").split()[::2]) - {"k", "th", "gone"} <= set(out.columns) | {"k", "th"}

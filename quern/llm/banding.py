@@ -101,25 +101,33 @@ def stars(items: DataFrame, buckets: int | None = None) -> DataFrame:
     return items.select("id", "bands").mapInArrow(_send(n), "bucket int, data binary").groupBy("bucket").applyInArrow(_meet(n), "key long, id long, pivot long")
 
 
+def _alike(a: np.ndarray, b: np.ndarray, hundredths: int) -> bool:
+    """Whether two sorted sets have that Jaccard similarity or more."""
+    if len(b) < len(a):
+        a, b = b, a
+    if not len(a) or 100 * len(a) < hundredths * len(b):
+        return False
+    i = np.searchsorted(b, a)
+    both = int((b[np.minimum(i, len(b) - 1)] == a).sum())
+    return 100 * both >= hundredths * (len(a) + len(b) - both)
+
+
 def _verify(sets: Sets, hundredths: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot, mine = None, None
+        group, heads = None, {}  # an id that is repeated with other texts has several sets
         for batch in batches:
             for part, data, at in B.blocks([batch], first=False):
                 have, cut = sets(data, at)
-                ids, pivots = B.longs(part.column("id")), B.longs(part.column("pivot"))
+                ids, pivots, salts = (B.longs(part.column(c)) for c in ("id", "pivot", "salt"))
                 links = []
                 for j in range(len(ids)):
                     s = have[cut[j] : cut[j + 1]]
+                    if (pivots[j], salts[j]) != group:
+                        group, heads = (pivots[j], salts[j]), {}
                     if ids[j] == pivots[j]:
-                        pivot, mine = pivots[j], s.copy()
-                    elif pivot == pivots[j] and len(s) and len(mine):
-                        a, b = (s, mine) if len(s) < len(mine) else (mine, s)
-                        if 100 * len(a) >= hundredths * len(b):
-                            i = np.searchsorted(b, a)
-                            both = int((b[np.minimum(i, len(b) - 1)] == a).sum())
-                            if 100 * both >= hundredths * (len(a) + len(b) - both):
-                                links.append(j)
+                        heads.setdefault(s.tobytes(), s.copy())
+                    elif len(s) and any(_alike(s, head, hundredths) for head in heads.values()):
+                        links.append(j)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[links], pa.int64()), pa.array(pivots[links], pa.int64())], names=["a", "b"])
 
     return of

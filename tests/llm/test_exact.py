@@ -125,6 +125,15 @@ def test_rows_repeated_with_one_doc_id(spark):
     assert substring.dedup_substrings(df).count() == suffix.dedup_bytes(df).count() == lines.dedup_lines(df).count() == 5
 
 
+def test_near_copies_of_both_texts_of_a_repeated_doc_id(spark):
+    rng = random.Random(8)
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(4)]
+    data = [(1, " ".join(t)) for t in texts] + [(2 + i, " ".join([*t[:-1], "changed"])) for i, t in enumerate(texts)] + [(9, "nothing like the others")]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    found = rows_of(neardup.near_duplicates(df, width=2), "doc_id", "component_id", "kept")
+    assert found == [(1, 1, True)] * 4 + [(i, 1, False) for i in (2, 3, 4, 5)] + [(9, 9, True)]
+
+
 @pytest.mark.parametrize("which", ["odd", "docs"])
 def test_shards(request, which):
     data, df = request.getfixturevalue(which)

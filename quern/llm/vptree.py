@@ -3,7 +3,8 @@
 Vectors get one more component, sqrt(M^2 - |x|^2), and queries a zero there, with M the largest norm: Euclidean order is then the
 order of inner products. A tree splits at the median distance from a vantage point; a branch is left out where the
 triangle inequality puts all of it farther than the k-th best so far divided by ``factor``. Factor 1 is exact search; above 1 more is
-left out. Leaves are blocks of vectors for a matrix product. Vectors that occur often are held once, with their k + 1
+left out. Leaves are blocks of vectors for a matrix product;
+what it leaves in question is ranked by (score, least id) with exact scores, so any number of ties is settled. Vectors that occur often are held once, with their k + 1
 smallest ids: no query can return more of them.
 
 Queries travel in blocks to every shard, are answered there, and the shards' answers are merged by (score, id). Scores are recomputed
@@ -28,6 +29,7 @@ from ._spark import partitions, settle
 FOUND = "query_id long, vec_id long, score double"
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 SHARD_ROWS, QUERIES, PARTS = 65_536, 512, 4
+PAIRS = 1 << 15  #: pairs of vectors multiplied at a time
 
 
 def build(x: np.ndarray, leaf: int, seed: int = 7) -> list:
@@ -47,29 +49,55 @@ def build(x: np.ndarray, leaf: int, seed: int = 7) -> list:
     return split(np.arange(len(x)))
 
 
-def search(tree, x: np.ndarray, q: np.ndarray, k: int, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """Squared distances and rows of the k nearest of x for each of q (rows -1 where fewer)."""
-    best, rows = np.full((len(q), k), np.inf), np.full((len(q), k), -1)
-    norms = (x * x).sum(1)
-    qn = (q * q).sum(1)
+def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of rows in the one order of summation that scores have."""
+    parts = [(q[i : i + PAIRS] * x[i : i + PAIRS]).cumsum(1)[:, -1] for i in range(0, len(q), PAIRS)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def search(tree, x: np.ndarray, least: np.ndarray, q: np.ndarray, k: int, top: float, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Products and rows of the k of x that come first by (product, ``least``) for each of q (rows -1 where fewer).
+
+    The tree is over x lifted to the norm ``top``, or more. Matrix products and distances only leave out what is farther from the
+    k-th best than their rounding can be; what remains is ranked by _products.
+    """
+    best, rows = np.full((len(q), k), -np.inf), np.full((len(q), k), -1)
+    qn, xn = np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1))
+    lifted = np.concatenate((q, np.zeros((len(q), 1))), 1)
+    unit = 4 * (x.shape[1] + 4) * np.finfo(float).eps
+    bound = np.full(len(q), -np.inf)
+
+    def leaf(r: np.ndarray, who: np.ndarray, near: bool) -> None:
+        p, e = q[who] @ x[r].T, unit * qn[who, None] * xn[r]
+        if near:
+            if len(r) >= k:
+                bound[who] = np.partition(p - e, len(r) - k, 1)[:, len(r) - k]
+            return
+        some = ~(p + e < np.maximum(best[who, -1], bound[who])[:, None]).all(1)
+        who, p, e = who[some], p[some], e[some]
+        if not len(who):
+            return
+        low = np.concatenate((best[who], p - e), 1)
+        low = np.maximum(np.partition(low, len(r), 1)[:, len(r)], bound[who])  # the k-th largest of k + len(r)
+        i, j = np.nonzero(~(p + e < low[:, None]))
+        new = _products(q[who[i]], x[r[j]])
+        old_i, old_j = np.nonzero(rows[who] >= 0)
+        i, score, row = np.concatenate((old_i, i)), np.concatenate((best[who][old_i, old_j], new)), np.concatenate((rows[who][old_i, old_j], r[j]))
+        order = np.lexsort((least[row], -score, i))
+        i, score, row = i[order], score[order], row[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        keep = place < k
+        best[who[i[keep]], place[keep]], rows[who[i[keep]], place[keep]] = score[keep], row[keep]
 
     def visit(node, who: np.ndarray, near: bool) -> None:
         """near: only the way to the nearest leaf, for a first bound."""
         if not len(who):
             return
         if node[0] is None or isinstance(node[0], str):
-            r = node[1]
-            d = np.maximum(qn[who, None] + norms[r] - 2 * (q[who] @ x[r].T), 0)
-            if near:
-                best[who] = np.sort(np.concatenate((best[who], d), 1), 1)[:, :k]
-                return
-            d = np.concatenate((best[who], d), 1)
-            r = np.concatenate((rows[who], np.broadcast_to(r, (len(who), len(r)))), 1)
-            part = np.argpartition(d, k - 1, 1)[:, :k] if d.shape[1] > k else np.argsort(d, 1)
-            best[who], rows[who] = np.take_along_axis(d, part, 1), np.take_along_axis(r, part, 1)
+            leaf(node[1], who, near)
             return
         p, a, b, c, e, inner, outer = node
-        d = np.sqrt(np.maximum(((q[who] - p) ** 2).sum(1), 0))
+        d = np.sqrt(np.maximum(((lifted[who] - p) ** 2).sum(1), 0))
         if near:
             side = d < (b + c) / 2
             visit(inner, who[side], True)
@@ -77,14 +105,13 @@ def search(tree, x: np.ndarray, q: np.ndarray, k: int, factor: float = 1.0) -> t
             return
         gap_in, gap_out = np.maximum(np.maximum(a - d, d - b), 0), np.maximum(np.maximum(c - d, d - e), 0)
         for child, gap in sorted(((inner, gap_in), (outer, gap_out)), key=lambda t: float(t[1].sum())):
-            limit = np.sqrt(np.minimum(best[who].max(1), bound[who])) / factor
-            visit(child, who[gap <= limit * (1 + 1e-9) + 1e-9], False)
+            # A distance's square is |q|^2 + top^2 - 2 q.x, up to rounding in the lift and in the product.
+            square = np.maximum(qn[who] ** 2 + top * top - 2 * np.maximum(best[who, -1], bound[who]), 0)
+            limit = np.sqrt(square + 4 * unit * (qn[who] + top) ** 2) / factor
+            visit(child, who[~(gap > limit * (1 + 1e-9) + 1e-12 * (qn[who] + top))], False)
 
-    bound = np.full(len(q), np.inf)
     everyone = np.arange(len(q))
     visit(tree, everyone, True)
-    bound = best.max(1) * (1 + 1e-9) + 1e-9
-    best[:] = np.inf
     visit(tree, everyone, False)
     return best, rows
 
@@ -133,7 +160,7 @@ def _build(leaf: int, top: float):
         lifted = np.concatenate((x[one], np.sqrt(np.maximum(top * top - (x[one] ** 2).sum(1), 0))[:, None]), 1)
         by = np.argsort(back, kind="stable")
         cut = np.searchsorted(back[by], np.arange(len(one) + 1))
-        blob = pickle.dumps((build(lifted, leaf), lifted, ids[by], cut))
+        blob = pickle.dumps((build(lifted, leaf), x[one], ids[by], cut))
         return pa.table([pa.array([table.column("shard")[0].as_py()], pa.int32()), pa.array([zstandard.ZstdCompressor(level=1).compress(blob)], pa.binary())], names=["shard", "tree"])
 
     return of
@@ -151,7 +178,7 @@ def _lots(k: int):
     return of
 
 
-def _answer(k: int, factor: float, spare: int):
+def _answer(k: int, factor: float, top: float):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pickle
 
@@ -163,13 +190,13 @@ def _answer(k: int, factor: float, spare: int):
                 if tree.is_valid:
                     have = pickle.loads(zstandard.ZstdDecompressor().decompress(tree.as_py()))
                     continue
-                nodes, lifted, own, cut = have
+                nodes, x, own, cut = have
                 qid = np.frombuffer(ids.as_py(), np.int64)
                 q = np.frombuffer(vectors.as_py(), np.float64).reshape(len(qid), -1)
-                _, rows = search(nodes, lifted, np.concatenate((q, np.zeros((len(q), 1))), 1), min(k + 1 + spare, len(lifted)), factor)
+                # k + 1 vectors by (score, least id): an id of any other has k before it, besides the query's own.
+                scores, rows = search(nodes, x, own[cut[:-1]], q, min(k + 1, len(x)), top, factor)
                 hit = rows >= 0
-                who, what = np.nonzero(hit)[0], rows[hit]
-                score = (q[who] * lifted[what][:, :-1]).cumsum(1)[:, -1] if len(who) else np.zeros(0)
+                who, what, score = np.nonzero(hit)[0], rows[hit], scores[hit]
                 count = cut[what + 1] - cut[what]
                 pos = np.repeat(cut[what], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 who, score, vec = np.repeat(who, count), np.repeat(score, count), own[pos]
@@ -184,7 +211,7 @@ def _answer(k: int, factor: float, spare: int):
     return of
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float = 1.0, leaf: int = 256, shards: int | None = None, id: str = "vec_id", vector: str = "embedding", spare: int = 12) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float = 1.0, leaf: int = 256, shards: int | None = None, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k of ``vectors`` (id, vector) nearest to each row of ``queries``, which never finds its own id."""
     spark = vectors.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
@@ -196,9 +223,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
     rows = rows.where(F.size("v") == size["d"]).select("vec_id", "v", "th")
     few = rows.mapInArrow(_few(k), schema).distinct()
     few = few.withColumn("_r", F.row_number().over(Window.partitionBy("th").orderBy("vec_id"))).where(F.col("_r") <= k + 1).drop("_r")
+    top = size["m"] * (1 + 1e-12)
     n = shards or max(8, math.ceil(size["n"] / SHARD_ROWS))
     # Copies of a vector share a shard, which holds it once; by a hash of the vector shards are even.
-    trees = settle(few.withColumn("shard", F.pmod(F.xxhash64("th"), F.lit(n)).cast("int")).groupBy("shard").applyInArrow(_build(leaf, size["m"] * (1 + 1e-12)), "shard int, tree binary"))
+    trees = settle(few.withColumn("shard", F.pmod(F.xxhash64("th"), F.lit(n)).cast("int")).groupBy("shard").applyInArrow(_build(leaf, top), "shard int, tree binary"))
     asked = _clean(queries, id, vector).where(F.size("v") == size["d"]).select("vec_id", "v").dropDuplicates(["vec_id"])
     lots = settle(asked.mapInArrow(_lots(k), "ids binary, vectors binary"))
     lots = lots.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(PARTS)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
@@ -207,6 +235,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
     both = heads.union(lots.select("shard", "part", F.lit(None).cast("binary"), "ids", "vectors"))
     both = both.repartition(partitions(spark), "shard", "part").sortWithinPartitions("shard", "part", F.col("tree").isNull())
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "32")  # rows are trees and blocks of queries
-    found = both.mapInArrow(_answer(k, factor, spare), FOUND)
+    found = both.mapInArrow(_answer(k, factor, top), FOUND)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

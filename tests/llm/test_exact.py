@@ -232,6 +232,22 @@ def test_neighbours_of_awkward_vectors(spark):
     assert some.groupBy("query_id").count().agg(F.max("count")).first()[0] <= 20
 
 
+@pytest.mark.parametrize("kind", ["binary", "sparse", "outlier"])
+def test_neighbours_with_many_ties_or_an_outlier(spark, kind):
+    """More distinct vectors tie than are returned; one norm dwarfs all products but its own."""
+    rng = random.Random(9)
+    n = 600
+    if kind == "outlier":
+        data = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(n)] + [(n + 1, [1e9] + [0.0] * 5)]
+    else:
+        data = [(i, [float(rng.random() < (0.5 if kind == "binary" else 0.1)) for _ in range(14)]) for i in rng.sample(range(n), n)]
+        data = [(i, v) for i, v in data if any(v)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3)
+    for shards, leaf in ((1, 64), (3, 16)):
+        found = sorted(tuple(r) for r in vptree.nearest(df, df.where("vec_id % 20 = 0"), shards=shards, leaf=leaf).collect())
+        assert found == sorted(brute.op8(data))
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, sf, tmp_path, name):
     for t in ("documents", "embeddings", "benchmark", "labels"):

@@ -1,6 +1,7 @@
 """Toxicity by compression distance: windows' lengths under a zstandard dictionary trained on toxic text and one on ordinary text.
 
-A window is a word (letters, lower-cased) in a fixed frame that both dictionaries know, so that lengths differ by the word alone.
+A window is a word (letters, lower-cased; of a run longer than ``WORD`` bytes, as scripts without blanks have, each ``WORD`` bytes,
+``STEP`` apart, the last ones at its end) in a fixed frame that both dictionaries know, so that lengths differ by the word alone.
 The toxic dictionary is trained on words that toxic documents have far more often than ordinary ones (by themselves or by
 their first letters), the ordinary one on all words of ordinary documents. A document's features are the shares of
 its words whose two lengths differ by at least each of nine thresholds; logistic regression calibrates these on a bounded
@@ -34,11 +35,11 @@ FRAME = b"|0123456789#ABCDEFGHIJKLMNOPQRSTUVWXYZ#9876543210| "
 APART = bytes(b for b in range(128) if not chr(b).isalpha())
 LOW, HIGH = -4, 8
 KEPT = 1 << 20  #: words whose lengths a task keeps
-TOXIC_SIZE, ORDINARY_SIZE, WORD = 32 << 10, 112 << 10, 64
+TOXIC_SIZE, ORDINARY_SIZE, WORD, STEP = 32 << 10, 112 << 10, 64, 32
 
 
 def _window(word: bytes) -> bytes:
-    return FRAME + word[:WORD] + b" "
+    return FRAME + word + b" "
 
 
 def compressors(dictionaries: list[bytes]) -> list[zstandard.ZstdCompressor]:
@@ -89,16 +90,31 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3) -> np.ndarray:
     return w
 
 
-def _words(data: np.ndarray, at: np.ndarray) -> tuple[B.Words, bytes]:
-    return B.Words(data, at, APART, lower=True), data.tobytes().lower()
+def _words(data: np.ndarray, at: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The lower-cased bytes; first and past-the-end byte and hash of each word or window of a longer one; each row's first, with the end."""
+    w, raw = B.Words(data, at, APART, lower=True), data.tobytes().lower()
+    start, end, hash_ = w.start, w.end, w.hash
+    count = 1 + np.maximum(end - start - WORD + STEP - 1, 0) // STEP
+    long = count > 1
+    if not long.any():
+        return raw, start, end, hash_, w.first
+    upto = np.concatenate(([0], np.cumsum(count)))
+    number = np.arange(upto[-1]) - np.repeat(upto[:-1], count)
+    start, end, hash_, long = (np.repeat(x, count) for x in (start, end, hash_, long))
+    start = np.where(long, np.minimum(start + number * STEP, end - WORD), start)
+    end = np.where(long, start + WORD, end)
+    forward, back = B.powers(B.BASE, len(data) + 1)
+    sums = np.concatenate((np.zeros(1, U), np.cumsum(B.byte_values(APART, True)[data] * forward[:-1], dtype=U)))
+    hash_[long] = B.mix((sums[end[long]] - sums[start[long]]) * back[start[long]])
+    return raw, start, end, hash_, upto[w.first]
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     docs, y = [], []
     for batch, data, at in B.blocks(batches):
-        w, raw = _words(data, at)
-        words = [raw[s:e] for s, e in zip(w.start.tolist(), w.end.tolist())]
-        docs += [words[a:b] for a, b in zip(w.first, w.first[1:])]
+        raw, start, end, _, first = _words(data, at)
+        words = [raw[s:e] for s, e in zip(start.tolist(), end.tolist())]
+        docs += [words[a:b] for a, b in zip(first, first[1:])]
         y += batch.column("toxic").to_pylist()
     y = np.array(y, np.int64)
     sure = y.mean() if len(y) else 0.0
@@ -143,16 +159,16 @@ def _score(shared):
         for batch, data, at in B.blocks(batches):
             score = np.full(len(batch), 0.5 * sure)
             if model:
-                w, raw = _words(data, at)
-                one, first, back = np.unique(w.hash, return_index=True, return_inverse=True)
+                raw, start, end, hash_, begin = _words(data, at)
+                one, first, back = np.unique(hash_, return_index=True, return_inverse=True)
                 place = (one & U(KEPT - 1)).astype(np.int64)
                 d = values[place].astype(np.int64)
                 new = np.flatnonzero(keys[place] != one)
                 if len(new):
                     at_ = first[new]
-                    d[new] = _lengths([raw[s:e] for s, e in zip(w.start[at_].tolist(), w.end[at_].tolist())], *both)
+                    d[new] = _lengths([raw[s:e] for s, e in zip(start[at_].tolist(), end[at_].tolist())], *both)
                     keys[place[new]], values[place[new]] = one[new], d[new]
-                f = shares(d[back], w.first)
+                f = shares(d[back], begin)
                 score = 1 / (1 + np.exp(-np.clip(f @ weights[:-1] + weights[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(score)], names=[*(c for c in batch.schema.names if c != "text"), "score"])
 

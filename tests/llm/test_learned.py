@@ -71,6 +71,29 @@ def test_toxicity_of_awkward_texts(spark):
     assert len(found) == 5 and all(0 <= r["score"] <= 1 for r in found)
 
 
+def test_windows_of_long_runs():
+    text = ("é" * 32 + "schlimm" * 20 + " kurz " + "Z" * 65).encode()
+    raw, start, end, hash_, first = toxicity._words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    got = [raw[s:e] for s, e in zip(start, end)]
+    assert first.tolist() == [0, len(got)] and got[-2:] == [b"z" * 64] * 2 and b"kurz" in got and max(map(len, got)) == 64
+    assert {i for s, e in zip(start, end) for i in range(s, e)} == set(range(len(text))) - {i for i, c in enumerate(text) if c == 32}
+    assert len(set(hash_)) == len(set(got)) and hash_[-1] == hash_[-2]
+
+
+def test_toxic_passage_within_an_unbroken_run(spark):
+    """Behind 64 bytes without a blank, in training and in scoring."""
+    rng = np.random.default_rng(3)
+    kana = [chr(c) for c in range(0x3042, 0x3090)]
+    words = ["".join(rng.choice(kana, 7)) for _ in range(400)]
+    bad = ["".join(rng.choice(kana, 7)) for _ in range(20)]
+    run = lambda pool: "あ" * 25 + str(rng.choice(pool))
+    rows = [(i, " ".join(run(bad if i % 2 and j % 3 == 0 else words) for j in range(30))) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    found = toxicity.toxicity(df, labels).where("held_out").collect()
+    assert auc(np.array([r["score"] for r in found]), np.array([r["doc_id"] % 2 for r in found])) >= 0.9
+
+
 @pytest.fixture(scope="module")
 def pipeline():
     return pytest.importorskip("corpus_pipeline")

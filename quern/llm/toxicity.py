@@ -3,7 +3,8 @@
 A window is a word (letters, lower-cased; of a run longer than ``WORD`` bytes, as scripts without blanks have, each ``WORD`` bytes,
 ``STEP`` apart, the last ones at its end) in a fixed frame that both dictionaries know, so that lengths differ by the word alone.
 The toxic dictionary is trained on words that toxic documents have far more often than ordinary ones (by themselves or by
-their first letters), the ordinary one on all words of ordinary documents. A document's features are the shares of
+their first letters), the ordinary one on words of ordinary documents; each on windows drawn from half of the sample, at most
+``toxic_windows`` and ``ordinary_windows`` of them. A document's features are the shares of
 its words whose two lengths differ by at least each of nine thresholds; logistic regression calibrates these on a bounded
 sample of labelled documents, at most about ``most`` of each label. Words are compressed once a block, and kept by hash in a
 table of fixed size; texts are taken whole.
@@ -109,45 +110,48 @@ def _words(data: np.ndarray, at: np.ndarray) -> tuple[bytes, np.ndarray, np.ndar
     return raw, start, end, hash_, upto[w.first]
 
 
-def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    docs, y = [], []
-    for batch, data, at in B.blocks(batches):
-        raw, start, end, _, first = _words(data, at)
-        words = [raw[s:e] for s, e in zip(start.tolist(), end.tolist())]
-        docs += [words[a:b] for a, b in zip(first, first[1:])]
-        y += batch.column("toxic").to_pylist()
-    y = np.array(y, np.int64)
-    sure = y.mean() if len(y) else 0.0
-    model = None
-    if 0 < sure < 1:
-        order = np.random.default_rng(0).permutation(len(y))
-        # Dictionaries come from one half, thresholds from the other: words by heart would look too certain.
-        half = order[: len(order) // 2]
-        counts = [Counter(), Counter()]
-        for i in half:
-            counts[y[i]].update(_parts(set(docs[i])))
-        n = [int((y[half] == c).sum()) for c in (0, 1)]
-        score: dict[bytes, float] = {}
-        for x in {x for i in half if y[i] for x in docs[i]}:
-            score[x] = max([_contrast(counts[1], counts[0], n[1], n[0], p) for p in _parts({x})])
-        toxic = [x for i in half if y[i] for x in sorted(set(docs[i])) if score[x] >= 3 and counts[0][x] <= 0.002 * n[0]]
-        ordinary = [x for i in half if not y[i] for x in docs[i]]
-        pick = np.random.default_rng(1)
-        parts = [[_window(x[j]) for j in pick.permutation(len(x))[:most]] for x, most in ((toxic, 30_000), (ordinary, 100_000))]
-        try:
-            dictionaries = [zstandard.train_dictionary(size, x).as_bytes() for size, x in zip((TOXIC_SIZE, ORDINARY_SIZE), parts)]
-        except zstandard.ZstdError:  # too little text to train on
-            dictionaries = []
-        if dictionaries:
-            both = compressors(dictionaries)
-            rest = order[len(order) // 2 :]
-            known: dict[bytes, int] = {}
-            new = sorted({x for i in rest for x in docs[i]})
-            known = dict(zip(new, _lengths(new, *both).tolist()))
-            d = np.array([known[x] for i in rest for x in docs[i]], np.int64)
-            f = shares(d, np.concatenate(([0], np.cumsum([len(docs[i]) for i in rest]))))
-            model = dictionaries, logistic(f, y[rest])
-    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model, float(sure)))], pa.binary())], names=["model"])
+def _train(toxic_windows: int, ordinary_windows: int):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, y = [], []
+        for batch, data, at in B.blocks(batches):
+            raw, start, end, _, first = _words(data, at)
+            words = [raw[s:e] for s, e in zip(start.tolist(), end.tolist())]
+            docs += [words[a:b] for a, b in zip(first, first[1:])]
+            y += batch.column("toxic").to_pylist()
+        y = np.array(y, np.int64)
+        sure = y.mean() if len(y) else 0.0
+        model = None
+        if 0 < sure < 1:
+            order = np.random.default_rng(0).permutation(len(y))
+            # Dictionaries come from one half, thresholds from the other: words by heart would look too certain.
+            half = order[: len(order) // 2]
+            counts = [Counter(), Counter()]
+            for i in half:
+                counts[y[i]].update(_parts(set(docs[i])))
+            n = [int((y[half] == c).sum()) for c in (0, 1)]
+            score: dict[bytes, float] = {}
+            for x in {x for i in half if y[i] for x in docs[i]}:
+                score[x] = max([_contrast(counts[1], counts[0], n[1], n[0], p) for p in _parts({x})])
+            toxic = [x for i in half if y[i] for x in sorted(set(docs[i])) if score[x] >= 3 and counts[0][x] <= 0.002 * n[0]]
+            ordinary = [x for i in half if not y[i] for x in docs[i]]
+            pick = np.random.default_rng(1)
+            parts = [[_window(x[j]) for j in pick.permutation(len(x))[:most]] for x, most in ((toxic, toxic_windows), (ordinary, ordinary_windows))]
+            try:
+                dictionaries = [zstandard.train_dictionary(size, x).as_bytes() for size, x in zip((TOXIC_SIZE, ORDINARY_SIZE), parts)]
+            except zstandard.ZstdError:  # too little text to train on
+                dictionaries = []
+            if dictionaries:
+                both = compressors(dictionaries)
+                rest = order[len(order) // 2 :]
+                known: dict[bytes, int] = {}
+                new = sorted({x for i in rest for x in docs[i]})
+                known = dict(zip(new, _lengths(new, *both).tolist()))
+                d = np.array([known[x] for i in rest for x in docs[i]], np.int64)
+                f = shares(d, np.concatenate(([0], np.cumsum([len(docs[i]) for i in rest]))))
+                model = dictionaries, logistic(f, y[rest])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model, float(sure)))], pa.binary())], names=["model"])
+
+    return of
 
 
 def _score(shared):
@@ -175,8 +179,9 @@ def _score(shared):
     return of
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 2500) -> bytes | None:
-    """A model from documents of the training fold with a label: at most about ``most`` ordinary and as many toxic ones.
+def fit(docs: DataFrame, labels: DataFrame, most: int = 2500, toxic_windows: int = 30_000, ordinary_windows: int = 100_000) -> bytes | None:
+    """A model from documents of the training fold with a label: at most about ``most`` ordinary and as many toxic ones, and
+    dictionaries from at most ``toxic_windows`` and ``ordinary_windows`` windows of half of these.
 
     Labels are sampled before they meet documents, so that what is broadcast has that bound and no text is dealt out.
     """
@@ -184,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 2500) -> bytes | None:
     marked = labels.where(F.col("toxic").isin(0, 1) & (fold("doc_id", 5) != 0)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     few = settle(sample(marked, "toxic", most, by="doc_id"))
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "toxic")
-    return made(rows, _train)
+    return made(rows, _train(toxic_windows, ordinary_windows))
 
 
 def score(docs: DataFrame, model: bytes | None) -> DataFrame:
@@ -195,5 +200,5 @@ def score(docs: DataFrame, model: bytes | None) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, most: int = 2500) -> DataFrame:
-    return score(docs, fit(docs, labels, most))
+def toxicity(docs: DataFrame, labels: DataFrame, most: int = 2500, toxic_windows: int = 30_000, ordinary_windows: int = 100_000) -> DataFrame:
+    return score(docs, fit(docs, labels, most, toxic_windows, ordinary_windows))

@@ -94,6 +94,18 @@ def test_toxic_passage_within_an_unbroken_run(spark):
     assert auc(np.array([r["score"] for r in found]), np.array([r["doc_id"] % 2 for r in found])) >= 0.9
 
 
+def test_bounds_of_windows_are_parameters(spark):
+    rng = np.random.default_rng(4)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    words = ["".join(rng.choice(letters, 8)) for _ in range(320)]
+    rows = [(i, " ".join(rng.choice(words[300:] if i % 2 and j % 3 == 0 else words[:300]) for j in range(30))) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    usual, few = toxicity.fit(df, labels), toxicity.fit(df, labels, ordinary_windows=200)
+    assert len(usual) > 1000  # with dictionaries
+    assert usual == toxicity.fit(df, labels, toxic_windows=30_000, ordinary_windows=100_000) and usual != few
+
+
 @pytest.fixture(scope="module")
 def pipeline():
     return pytest.importorskip("corpus_pipeline")

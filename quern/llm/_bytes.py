@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -69,10 +70,27 @@ def longs(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
 
+@cache
+def _libc():
+    import ctypes
+
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+def tidy() -> None:
+    """Give back what earlier tasks of this worker have left: functions and their tables in cycles, and pages of free memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    _libc()(0)
+
+
 def blocks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = BLOCK, first: bool = True) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of at most about ``limit`` bytes of text, or one row. ``first``: the task calls this once."""
     if first:
-        gc.collect()  # a worker that is used again still holds the last task's functions, and their tables, in cycles
+        tidy()
     for batch in batches:
         data, at = texts(batch.column(text))
         i = 0

@@ -1,9 +1,11 @@
-"""Candidates from LSH bands without pairs of a whole band: stars, exact checks, then rounds for what the stars leave open.
-
-Items with one band key form a group. Each group is searched from a pivot (its least id), so a group of n items gives
-n - 1 candidates. All are checked exactly. Where a group still spans several components after that, further pivots are
-compared with it, and once the open pairs are no more than the items all of them are compared: no link between two
-items of one group is lost, and a large group of copies costs its size, not its square.
+"""Links from LSH bands without pairs of a whole band: clusters, exact closure in bounded blocks, rounds for what has no room in one.
+
+Items that share a band key, directly or through others, form a cluster; most clusters are small. A cluster of at most ``LIMIT`` bytes
+is one block: one task holds its sets, counts what all pairs share over an inverted index, and returns its components as at most one link
+an item. A larger cluster is dealt out over several blocks, each with the items that meet most others, so that copies find what they
+were made from at the cost of their number. Where that leaves it in several components, the groups of single band keys that are still
+in several are closed in the same way; and of a group that is too large even for one block all pairs of blocks are compared but those
+within one component. So no link between two items of one group is lost, no pair becomes a row, and no task holds an unbounded group.
 """
 
 from __future__ import annotations
@@ -12,16 +14,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import _bytes as B
 from ._spark import partitions, release, settle
-from .graph import components
+from .graph import components, contracted
 
 U = np.uint64
 PAIRS = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("pivot", pa.int64())])
 _GATHER = 1 << 20  #: band keys that a mapper sorts at a time
-_SALT = 256  #: items of one pivot in a task's group
+LIMIT = 1 << 20  #: bytes of text (and ``_EACH`` an item) that are compared in one block
+_EACH = 512
+_HEADS = 16  #: items that stand in every block of a group that has several
 Sets = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
@@ -101,118 +105,186 @@ def stars(items: DataFrame, buckets: int | None = None) -> DataFrame:
     return items.select("id", "bands").mapInArrow(_send(n), "bucket int, data binary").groupBy("bucket").applyInArrow(_meet(n), "key long, id long, pivot long")
 
 
-def _alike(a: np.ndarray, b: np.ndarray, hundredths: int) -> bool:
-    """Whether two sorted sets have that Jaccard similarity or more."""
-    if len(b) < len(a):
-        a, b = b, a
-    if not len(a) or 100 * len(a) < hundredths * len(b):
-        return False
-    i = np.searchsorted(b, a)
-    both = int((b[np.minimum(i, len(b) - 1)] == a).sum())
-    return 100 * both >= hundredths * (len(a) + len(b) - both)
+def _closure(h: np.ndarray, cut: np.ndarray, label: np.ndarray, side: np.ndarray, hundredths: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between labels, one fewer than it joins, of the sets h[cut[i]:cut[i+1]] with that Jaccard similarity or more.
 
+    With two sides, only sets of different sides are compared. What two sets share is counted over an inverted index: hashes that the
+    same sets have are one column of some weight; columns of many sets by a matrix product, those of few pair by pair.
+    """
+    size, n = np.diff(cut), len(cut) - 1
+    names, root = np.unique(label, return_inverse=True)
+    none = names[:0], names[:0]
+    if len(names) < 2:
+        return none
+    item = np.repeat(np.arange(n), size)
+    order = np.argsort(h, kind="stable")
+    h, item = h[order], item[order]
+    start = B.run_starts(h)
+    count = np.diff(start, append=len(h))
+    some = count > 1
+    if not some.any():
+        return none
+    mark = np.add.reduceat(B.mix(np.arange(1, n + 1, dtype=U) * U(B.BASE))[item], start)[some]
+    _, first, weight = np.unique(mark, return_index=True, return_counts=True)
+    start, count = start[some][first], count[some][first]
+    kind = np.float32 if size.max() < 1 << 24 else np.float64  # whole numbers are exact
+    both = np.zeros((n, n), kind)
+    many = count * 10 > n if n > 8 else np.zeros(len(count), bool)
+    lots = np.array_split(np.flatnonzero(many), -(-int(many.sum()) // 1024)) if many.any() else []
+    for lot in lots:
+        x = np.zeros((n, len(lot)), kind)
+        x[item[B.spread(start[lot], count[lot])], np.repeat(np.arange(len(lot)), count[lot])] = 1
+        both += (x * weight[lot].astype(kind)) @ x.T
+    few = np.flatnonzero(~many)
+    at = np.concatenate(([0], np.cumsum(count[few] ** 2)))
+    i = 0
+    while i < len(few):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + (1 << 19), "right")) - 1)
+        lot = few[i:j]
+        times = np.repeat(count[lot], count[lot])
+        left = np.repeat(item[B.spread(start[lot], count[lot])], times)
+        right = item[B.spread(np.repeat(start[lot], count[lot]), times)]
+        np.add.at(both.reshape(-1), left * n + right, np.repeat(weight[lot], count[lot] ** 2).astype(kind))
+        i = j
+    sided = side.min() != side.max()
+    ends = []
+    for i in range(0, n, 256):
+        shared = both[i : i + 256].astype(np.int64)
+        alike = ((100 + hundredths) * shared >= hundredths * (size[i : i + 256, None] + size)) & (root[i : i + 256, None] < root)
+        if sided:
+            alike &= side[i : i + 256, None] != side
+        a, b = np.nonzero(alike)
+        if len(a):
+            ends.append(contracted(root[a + i], root[b]))
+    if not ends:
+        return none
+    a, b = contracted(*(np.concatenate(x) for x in zip(*ends)))
+    return names[a], names[b]
+
+
+def _close(sets: Sets, hundredths: int):
+    """Links between the labels c of each block (key, chunk); rows come sorted by block."""
 
-def _verify(sets: Sets, hundredths: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, heads = None, {}  # an id that is repeated with other texts has several sets
+        B.tidy()
+        now, held = None, []  # the block that is not known to have ended: labels, sides, hashes and sizes of its sets
         for batch in batches:
             for part, data, at in B.blocks([batch], first=False):
-                have, cut = sets(data, at)
-                ids, pivots, salts = (B.longs(part.column(c)) for c in ("id", "pivot", "salt"))
-                links = []
-                for j in range(len(ids)):
-                    s = have[cut[j] : cut[j + 1]]
-                    if (pivots[j], salts[j]) != group:
-                        group, heads = (pivots[j], salts[j]), {}
-                    if ids[j] == pivots[j]:
-                        heads.setdefault(s.tobytes(), s.copy())
-                    elif len(s) and any(_alike(s, head, hundredths) for head in heads.values()):
-                        links.append(j)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[links], pa.int64()), pa.array(pivots[links], pa.int64())], names=["a", "b"])
+                h, cut = sets(data, at)
+                key, chunk, side, c = (B.longs(part.column(x)) for x in ("key", "chunk", "side", "c"))
+                begin = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1]))))
+                found = []
+                for i, j in zip(begin, [*begin[1:], len(key)]):
+                    if (key[i], chunk[i]) != now:
+                        found.append(_block(held, hundredths))
+                        now, held = (key[i], chunk[i]), []
+                    held.append((c[i:j], side[i:j], h[cut[i] : cut[j]], np.diff(cut[i : j + 1])))
+                held = [tuple(x.copy() for x in held_part) if held_part[2].base is not None else held_part for held_part in held]
+                yield _links(found)
+        yield _links([_block(held, hundredths)])
 
     return of
 
 
-def verified(pairs: DataFrame, items: DataFrame, sets: Sets, hundredths: int) -> DataFrame:
-    """The pairs (id, pivot) whose sets, taken from the items' whole texts (id, text), have that Jaccard similarity or more.
+def _block(held: list, hundredths: int) -> tuple[np.ndarray, np.ndarray]:
+    if not held or (len(held) == 1 and len(held[0][0]) < 2):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    c, side, h, size = held[0] if len(held) == 1 else (np.concatenate(x) for x in zip(*held))
+    return _closure(h, np.concatenate(([0], np.cumsum(size))), c, side, hundredths)
+
+
+def _links(found: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int64()) for x in (zip(*found) if found else ((), ()))], names=["a", "b"])
+
+
+def _parts(weight: Column, limit: int) -> Column:
+    """So many blocks does a group of that weight take."""
+    return F.when(weight <= limit, 1).otherwise(F.ceil(weight * 2 / limit)).cast("int")
 
-    Items are compared beside their pivot; a pivot of many items is repeated, once for each ``_SALT`` of them.
-    """
-    counts = pairs.groupBy("pivot").agg((F.count("*") / _SALT + 1).cast("int").alias("salts"))
-    members = pairs.join(counts, "pivot").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).join(items, "id")
-    heads = counts.join(items.withColumnRenamed("id", "pivot"), "pivot").select(F.col("pivot").alias("id"), "pivot", "text", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    both = heads.select("pivot", "salt", "id", "text").union(members.select("pivot", "salt", "id", "text"))
-    n = partitions(pairs.sparkSession)
-    return both.repartition(n, "pivot", "salt").sortWithinPartitions("pivot", "salt", F.col("id") != F.col("pivot")).mapInArrow(_verify(sets, hundredths), "a long, b long")
 
+def _dealt(groups: DataFrame, heads: DataFrame | None, seed: int) -> DataFrame:
+    """Blocks (key, chunk, side, c, id) of the members (key, parts, c, id) of groups, dealt out by chance; heads stand in each."""
+    out = groups.select("key", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("parts")).alias("chunk"), F.lit(0).alias("side"), "c", "id")
+    if heads is not None:
+        out = out.union(heads.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("chunk"), F.lit(0).alias("side"), "c", "id")).distinct()
+    return out
 
-def _open_pairs(pairs: DataFrame, comps: DataFrame, tested: DataFrame) -> DataFrame:
-    """The pairs (a, b) that were not compared and do not already belong together."""
-    for end in ("a", "b"):
-        pairs = pairs.join(comps.select(F.col("id").alias(end), F.col("component").alias(f"_{end}")), end, "left")
-    apart = F.coalesce("_a", "a") != F.coalesce("_b", "b")
-    return pairs.where(apart).select("a", "b").join(tested, ["a", "b"], "left_anti")
 
+def _heads(groups: DataFrame, degrees: DataFrame) -> DataFrame:
+    """Of each group with several blocks, the members that share band keys with most others."""
+    w = Window.partitionBy("key").orderBy(F.desc("degree"), "id")
+    ranked = groups.where("parts > 1").join(degrees, "id").withColumn("r", F.row_number().over(w))
+    return ranked.where(F.col("r") <= _HEADS).select("key", "parts", "c", "id")
 
-def linked(items: DataFrame, found: DataFrame, sets: Sets, hundredths: int, rounds: int = 4, pivots: int = 3, parts: int = 3) -> DataFrame:
-    """id, component of all items with a link inside a band group. ``found``: settled stars (key, id, pivot).
 
-    First each item is compared with the least of its pivots: that joins most of what belongs together at one comparison an item,
-    whatever the number of its groups. Then with those of its other pivots that it is still apart from. While groups in several
-    components have many open pairs, some further pivots of each are compared with it, ``rounds`` times at most; at last all
-    pairs that are still open, in one of ``parts`` of the groups after the other, as what one part links need not be compared again.
+def _crossed(groups: DataFrame, weights: DataFrame, limit: int) -> DataFrame:
+    """Blocks of all pairs of chunks of a group. A chunk holds a part of one large component, or some small components: those
+    chunks are also compared with themselves, while chunks of one component are not compared with each other."""
+    sized = settle(groups.join(weights, "id"))
+    comps = sized.groupBy("key", "c").agg(F.sum("w").alias("w"))
+    own = comps.where(F.col("w") * 2 > limit).select("key", "c", F.ceil(F.col("w") * 2 / limit).alias("p"))
+    rest = comps.where(F.col("w") * 2 <= limit).groupBy("key").agg(F.ceil(F.sum("w") * 4 / limit).alias("q"))
+    x = sized.join(own, ["key", "c"], "left").join(rest, "key", "left")
+    large = F.col("p").isNotNull()
+    place = F.when(large, F.pmod(F.xxhash64("id"), F.col("p"))).otherwise(F.pmod(F.xxhash64("c"), F.col("q")))
+    x = settle(x.select("key", "id", "c", F.when(large, F.col("c")).alias("of"), F.xxhash64(large, F.when(large, F.col("c")), place).alias("part")))
+    parts = x.groupBy("key", "part", "of").agg(F.count("*").alias("n"))
+    other = parts.select("key", F.col("part").alias("part2"), F.col("of").alias("of2"))
+    pairs = parts.join(other, "key").where("part < part2 and not (of <=> of2 and of is not null) or part = part2 and of is null")
+    pairs = pairs.select("key", "part", "part2", F.xxhash64("part", "part2").alias("chunk"))
+    sides = pairs.select("key", "chunk", "part", F.lit(0).alias("side")).union(pairs.where("part <> part2").select("key", "chunk", "part2", F.lit(1)))
+    return x.join(sides, ["key", "part"]).select("key", "chunk", "side", "c", "id")
+
+
+def linked(items: DataFrame, found: DataFrame, sets: Sets, hundredths: int, limit: int = LIMIT, rounds: int = 2) -> DataFrame:
+    """id, component of all items with a link inside a band group.
+
+    ``found``: settled stars (key, id, pivot); ``items``: settled (id, text, size in bytes), an id once for each of its texts.
+    Clusters that have room in one block are closed at once. Of the others, groups of band keys follow: each is dealt out anew for
+    ``rounds`` rounds while it is in several components and has several blocks; at last pairs of its blocks are compared.
     """
-    members = found.select("key", "id").union(found.select("key", F.col("pivot"))).distinct()
-    links = comps = tested = None
-
-    def compare(pairs: DataFrame) -> None:
-        nonlocal links, comps, tested
-        pairs = settle(pairs)
-        more = verified(pairs.select(F.col("b").alias("id"), F.col("a").alias("pivot")), items, sets, hundredths)
-        old, links = links, settle(more if links is None else comps.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
-        release(old)
+    comps = links = None
+
+    def close(blocks: DataFrame) -> None:
+        nonlocal comps, links
+        rows = blocks.join(items.select("id", "text"), "id").repartition(partitions(items.sparkSession), "key", "chunk").sortWithinPartitions("key", "chunk")
+        more = rows.select("key", "chunk", "side", "c", "id", "text").mapInArrow(_close(sets, hundredths), "a long, b long")
+        old, links = links, settle(more if comps is None else more.union(comps.toDF("a", "b")))
         comps = components(links)
-        old, tested = tested, pairs if tested is None else settle(tested.union(pairs))
-        if old is not None:
-            release(old, pairs)
-
-    def still_open(part: int | None = None) -> DataFrame:
-        """key, id, c of the groups of three or more that are in several components (of two, the only pair was compared)."""
-        m = members if part is None else members.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == part)
-        m = m.join(comps, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-        groups = m.groupBy("key").agg(F.min("c").alias("_x"), F.max("c").alias("_y"), F.count("*").alias("_n")).where("_x < _y and _n > 2")
-        return settle(m.join(groups.select("key"), "key"))
-
-    def ordered(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-
-    compare(found.groupBy("id").agg(F.min("pivot").alias("a")).select("a", F.col("id").alias("b")))
-    compare(_open_pairs(ordered(found), comps, tested))
-    for turn in range(rounds):
-        open_ = still_open()
-        sizes = open_.groupBy("key", "c").agg(F.count("*").cast("double").alias("n"))
-        per = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("s"))
-        left = per.agg(F.sum((F.col("n") * F.col("n") - F.col("s")) / 2).alias("pairs"), F.sum("n").alias("n")).first()
-        if not left["n"]:
-            release(open_)
-            return comps
-        if left["pairs"] <= 2 * left["n"] + 10_000:
-            release(open_)
-            break
-        # What shares groups with most others is likely linked to most of them: the text that a group's near copies were made from.
-        # Every other round takes pivots by chance, so that others are tried.
-        by = open_.withColumn("w", F.xxhash64("id", F.lit(turn)))
-        if turn % 2 == 0:
-            sizes = open_.groupBy("key").agg(F.count("*").alias("n"))
-            by = open_.join(open_.join(sizes, "key").groupBy("id").agg(F.sum("n").alias("w")), "id")
-        w = Window.partitionBy("key").orderBy(F.desc("w"), "d")
-        side = by.groupBy("key", F.col("c").alias("d")).agg(F.max_by("id", "w").alias("pivot"), F.max("w").alias("w"))
-        side = side.withColumn("r", F.row_number().over(w)).where(F.col("r") <= pivots).drop("r", "w")
-        compare(_open_pairs(ordered(open_.join(side, "key").where("c <> d")), comps, tested))
-        release(open_)
-    for part in range(parts):
-        open_ = still_open(part)
-        side = open_.select("key", F.col("id").alias("pivot"), F.col("c").alias("d"))
-        compare(_open_pairs(ordered(open_.join(side, "key").where("c < d")), comps, tested))
-        release(open_)
+        release(old)
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.drop("c").join(comps, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+
+    def still_open(groups: DataFrame) -> DataFrame:
+        groups = labelled(groups)
+        keys = groups.groupBy("key").agg(F.min("c").alias("_x"), F.max("c").alias("_y")).where("_x < _y").select("key")
+        return settle(groups.join(keys, "key", "left_semi"))
+
+    weights = items.groupBy("id").agg(F.sum(F.col("size") + _EACH).alias("w"))
+    clusters = settle(components(found.select(F.col("id").alias("a"), F.col("pivot").alias("b"))).join(weights, "id"))
+    parts = clusters.groupBy("component").agg(_parts(F.sum("w"), limit).alias("parts"))
+    members = settle(clusters.join(parts, "component").select(F.col("component").alias("key"), "parts", F.col("id").alias("c"), "id"))
+    release(clusters)
+    large = members.where("parts > 1")
+    if not large.limit(1).count():
+        close(_dealt(members, None, 0))
+        return comps
+    keys = settle(found.select("key", "id").union(found.select("key", "pivot")).distinct().join(large.select("id"), "id", "left_semi"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    degrees = settle(keys.join(shared, "key").groupBy("id").agg(F.sum("n").alias("degree")))
+    close(_dealt(members, _heads(large, degrees), 0))
+    if still_open(large).limit(1).count():
+        one = shared.groupBy("n", "x", "y").agg(F.min("key").alias("key"))  # keys of the same items: one is enough
+        groups = still_open(keys.join(one, "key", "left_semi"))
+        heavy = groups.join(weights, "id").groupBy("key").agg(_parts(F.sum("w"), limit).alias("parts"))
+        groups = settle(groups.join(heavy, "key"))
+        close(_dealt(groups, _heads(groups, degrees), 1))
+        groups = still_open(groups.where("parts > 1"))
+        for seed in range(2, rounds + 1):
+            if groups.limit(1).count():
+                close(_dealt(groups, _heads(groups, degrees), seed))
+                groups = still_open(groups)
+        if groups.limit(1).count():
+            close(_crossed(groups.select("key", "c", "id"), weights, limit))
     return comps

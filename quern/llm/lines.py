@@ -182,7 +182,7 @@ def repeated_lines(docs: DataFrame, hundredths: int = 80) -> DataFrame:
     found = settle(stars(texts.mapInArrow(_sign, "id long, bands binary")))
     need = found.select("id").union(found.select("pivot")).distinct()
     want = classes.join(need, "id").select("id", "first.*").groupBy("k", "th").agg(F.collect_set(F.struct("id", "line")).alias("want"))
-    items = settle(texts.join(want, ["k", "th"]).select("text", "want").mapInArrow(_of_id, "id long, text string"))
+    items = settle(texts.join(want, ["k", "th"]).select("text", "want").mapInArrow(_of_id, "id long, text string").withColumn("size", F.octet_length("text")))
     comps = linked(items, found, char_sets, hundredths)
     joined = classes.join(comps, "id", "left")
     least = joined.where("component is not null").groupBy("component").agg(F.min("first").alias("least"))

@@ -112,7 +112,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, hundredths: int = 80) -> Da
     found = settle(stars(items))
     # A doc_id that is repeated with other texts has several sets; each is compared.
     need = found.select("id").union(found.select("pivot")).distinct()
-    whole = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text").join(need, "id", "left_semi")
+    whole = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text", F.octet_length("text").alias("size")).join(need, "id", "left_semi")
     sets_of = linked(settle(whole), found, sets, hundredths)
     same = known.join(items.select("n_shingles", "one", "two", "id"), ["n_shingles", "one", "two"]).where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     comps = sets_of.where("id <> component")

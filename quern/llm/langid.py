@@ -172,8 +172,8 @@ def _predict(shared):
 def fit(docs: DataFrame, most: int = 1500) -> bytes | None:
     """A model of lang from text: documents of the training fold only; weights from at most about ``most`` of each language."""
     small_batches(docs.sparkSession)
-    rows = docs.where((fold("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", F.col("lang").cast("string").alias("lang"))
-    return made(sample(rows, "lang", most), _train(idf(rows)))
+    rows = docs.where((fold("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    return made(sample(rows, "lang", most, by=("doc_id", "text")).select("lang", "text"), _train(idf(rows)))
 
 
 def predict(docs: DataFrame, model: bytes | None) -> DataFrame:

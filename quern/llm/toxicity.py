@@ -187,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 2500, toxic_windows: int
     """
     small_batches(docs.sparkSession)
     marked = labels.where(F.col("toxic").isin(0, 1) & (fold("doc_id", 5) != 0)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
-    few = settle(sample(marked, "toxic", most, by="doc_id"))
+    few = settle(sample(marked, "toxic", most, by=("doc_id",)))
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "toxic")
     return made(rows, _train(toxic_windows, ordinary_windows))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import os
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -80,8 +81,17 @@ def _libc():
         return lambda _: 0
 
 
+LARGE = 288 << 20  #: resident bytes, libraries included, beyond which a worker looks for what it can give back
+
+
 def tidy() -> None:
-    """Give back what earlier tasks of this worker have left: functions and their tables in cycles, and pages of free memory."""
+    """In a worker that has grown: give back what earlier tasks have left, functions and their tables in cycles, and pages of free memory."""
+    try:
+        with open("/proc/self/statm") as f:
+            if int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") < LARGE:
+                return
+    except (OSError, ValueError):  # not Linux: always
+        pass
     gc.collect()
     pa.default_memory_pool().release_unused()
     _libc()(0)

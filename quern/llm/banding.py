@@ -105,8 +105,57 @@ def stars(items: DataFrame, buckets: int | None = None) -> DataFrame:
     return items.select("id", "bands").mapInArrow(_send(n), "bucket int, data binary").groupBy("bucket").applyInArrow(_meet(n), "key long, id long, pivot long")
 
 
+def _columns(h: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Items by hash; where the items of each hash that several have begin, how many they are, and how many hashes have these same items."""
+    order = np.argsort(h)
+    h, item = h[order], item[order]
+    start = B.run_starts(h)
+    count = np.diff(start, append=len(h))
+    some = count > 1
+    if not some.any():
+        return item, start[:0], count[:0], count[:0]
+    mark = np.add.reduceat(B.mix((item + 1).astype(U) * U(B.BASE)), start)[some]
+    _, first, weight = np.unique(mark, return_index=True, return_counts=True)
+    return item, start[some][first], count[some][first], weight
+
+
+def _count(both: np.ndarray, at: np.ndarray, place: np.ndarray, item: np.ndarray, start: np.ndarray, count: np.ndarray, weight: np.ndarray) -> None:
+    """Add each column's weight to both[at[x] + place[y]] for all its items x and y."""
+    pairs = np.concatenate(([0], np.cumsum(count**2)))
+    i = 0
+    while i < len(count):
+        j = max(i + 1, int(np.searchsorted(pairs, pairs[i] + (1 << 18), "right")) - 1)
+        n, begin = count[i:j], start[i:j]
+        times = np.repeat(n, n)
+        left = np.repeat(at[item[B.spread(begin, n)]], times)
+        right = place[item[B.spread(np.repeat(begin, n), times)]]
+        np.add.at(both, left + right, np.repeat(weight[i:j], n * n).astype(both.dtype))
+        i = j
+
+
+def _small(h: np.ndarray, cut: np.ndarray, block: np.ndarray, label: np.ndarray, side: np.ndarray, hundredths: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between labels of the sets h[cut[i]:cut[i+1]] of one block, for many blocks (0, 1, ..., sets in their order) of few sets at once."""
+    size = np.diff(cut)
+    n = np.bincount(block)
+    first = np.cumsum(n) - n
+    base = np.cumsum(n * n) - n * n
+    place = np.arange(len(block)) - first[block]
+    at = base[block] + place * n[block]
+    item, start, count, weight = _columns(B.mix(h ^ np.repeat(B.mix((block + 1).astype(U) * U(B.RUN)), size)), np.repeat(np.arange(len(block)), size))
+    both = np.zeros(int((n * n).sum()), np.int32)
+    _count(both, at, place, item, start, count, weight)
+    some = np.flatnonzero(both)
+    of = np.searchsorted(base, some, "right") - 1
+    x, y = divmod(some - base[of], n[of])
+    x, y = x + first[of], y + first[of]
+    shared = both[some].astype(np.int64)
+    sided = (np.minimum.reduceat(side, first) != np.maximum.reduceat(side, first))[of]
+    alike = (x < y) & ((100 + hundredths) * shared >= hundredths * (size[x] + size[y])) & (label[x] != label[y]) & (~sided | (side[x] != side[y]))
+    return contracted(label[x[alike]], label[y[alike]])
+
+
 def _closure(h: np.ndarray, cut: np.ndarray, label: np.ndarray, side: np.ndarray, hundredths: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between labels, one fewer than it joins, of the sets h[cut[i]:cut[i+1]] with that Jaccard similarity or more.
+    """Links between labels, one fewer than it joins, of the sets h[cut[i]:cut[i+1]] of one block with that Jaccard similarity or more.
 
     With two sides, only sets of different sides are compared. What two sets share is counted over an inverted index: hashes that the
     same sets have are one column of some weight; columns of many sets by a matrix product, those of few pair by pair.
@@ -116,36 +165,14 @@ def _closure(h: np.ndarray, cut: np.ndarray, label: np.ndarray, side: np.ndarray
     none = names[:0], names[:0]
     if len(names) < 2:
         return none
-    item = np.repeat(np.arange(n), size)
-    order = np.argsort(h, kind="stable")
-    h, item = h[order], item[order]
-    start = B.run_starts(h)
-    count = np.diff(start, append=len(h))
-    some = count > 1
-    if not some.any():
-        return none
-    mark = np.add.reduceat(B.mix(np.arange(1, n + 1, dtype=U) * U(B.BASE))[item], start)[some]
-    _, first, weight = np.unique(mark, return_index=True, return_counts=True)
-    start, count = start[some][first], count[some][first]
-    kind = np.float32 if size.max() < 1 << 24 else np.float64  # whole numbers are exact
-    both = np.zeros((n, n), kind)
-    many = count * 10 > n if n > 8 else np.zeros(len(count), bool)
-    lots = np.array_split(np.flatnonzero(many), -(-int(many.sum()) // 1024)) if many.any() else []
-    for lot in lots:
-        x = np.zeros((n, len(lot)), kind)
+    item, start, count, weight = _columns(h, np.repeat(np.arange(n), size))
+    both = np.zeros((n, n), np.float32 if size.max() < 1 << 24 else np.float64)  # whole numbers are exact
+    many = count * 10 > n
+    for lot in np.array_split(np.flatnonzero(many), -(-int(many.sum()) // 1024)) if many.any() else []:
+        x = np.zeros((n, len(lot)), both.dtype)
         x[item[B.spread(start[lot], count[lot])], np.repeat(np.arange(len(lot)), count[lot])] = 1
-        both += (x * weight[lot].astype(kind)) @ x.T
-    few = np.flatnonzero(~many)
-    at = np.concatenate(([0], np.cumsum(count[few] ** 2)))
-    i = 0
-    while i < len(few):
-        j = max(i + 1, int(np.searchsorted(at, at[i] + (1 << 19), "right")) - 1)
-        lot = few[i:j]
-        times = np.repeat(count[lot], count[lot])
-        left = np.repeat(item[B.spread(start[lot], count[lot])], times)
-        right = item[B.spread(np.repeat(start[lot], count[lot]), times)]
-        np.add.at(both.reshape(-1), left * n + right, np.repeat(weight[lot], count[lot] ** 2).astype(kind))
-        i = j
+        both += (x * weight[lot].astype(both.dtype)) @ x.T
+    _count(both.reshape(-1), np.arange(n) * n, np.arange(n), item, start[~many], count[~many], weight[~many])
     sided = side.min() != side.max()
     ends = []
     for i in range(0, n, 256):
@@ -169,17 +196,28 @@ def _close(sets: Sets, hundredths: int):
         B.tidy()
         now, held = None, []  # the block that is not known to have ended: labels, sides, hashes and sizes of its sets
         for batch in batches:
-            for part, data, at in B.blocks([batch], first=False):
+            for part, data, at in B.blocks([batch], limit=1 << 20, first=False):
                 h, cut = sets(data, at)
                 key, chunk, side, c = (B.longs(part.column(x)) for x in ("key", "chunk", "side", "c"))
                 begin = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1]))))
+                end = np.append(begin[1:], len(key))
                 found = []
-                for i, j in zip(begin, [*begin[1:], len(key)]):
+                # The first block here may go on from before, the last may not end here; of those between, the small ones are closed at once.
+                few = np.flatnonzero((end - begin > 1) & (end - begin <= 64))
+                few = few[(few > 0) & (few < len(begin) - 1)]
+                if len(few):
+                    size = (end - begin)[few]
+                    row = B.spread(begin[few], size)
+                    bytes_ = np.diff(cut)[row]
+                    found.append(_small(h[B.spread(cut[row], bytes_)], np.concatenate(([0], np.cumsum(bytes_))), np.repeat(np.arange(len(few)), size), c[row], side[row], hundredths))
+                single = np.setdiff1d(np.flatnonzero(end - begin > 64), few)
+                for n in sorted({0, len(begin) - 1, *single.tolist()}):
+                    i, j = begin[n], end[n]
                     if (key[i], chunk[i]) != now:
                         found.append(_block(held, hundredths))
                         now, held = (key[i], chunk[i]), []
                     held.append((c[i:j], side[i:j], h[cut[i] : cut[j]], np.diff(cut[i : j + 1])))
-                held = [tuple(x.copy() for x in held_part) if held_part[2].base is not None else held_part for held_part in held]
+                held = [tuple(x if x.base is None else x.copy() for x in part_) for part_ in held]
                 yield _links(found)
         yield _links([_block(held, hundredths)])
 
@@ -187,9 +225,9 @@ def _close(sets: Sets, hundredths: int):
 
 
 def _block(held: list, hundredths: int) -> tuple[np.ndarray, np.ndarray]:
-    if not held or (len(held) == 1 and len(held[0][0]) < 2):
+    if sum(len(part[0]) for part in held) < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    c, side, h, size = held[0] if len(held) == 1 else (np.concatenate(x) for x in zip(*held))
+    c, side, h, size = (np.concatenate(x) for x in zip(*held))
     return _closure(h, np.concatenate(([0], np.cumsum(size))), c, side, hundredths)
 
 
@@ -236,14 +274,14 @@ def _crossed(groups: DataFrame, weights: DataFrame, limit: int) -> DataFrame:
     return x.join(sides, ["key", "part"]).select("key", "chunk", "side", "c", "id")
 
 
-def linked(items: DataFrame, found: DataFrame, sets: Sets, hundredths: int, limit: int = LIMIT, rounds: int = 2) -> DataFrame:
+def linked(items: DataFrame, found: DataFrame, sets: Sets, hundredths: int, limit: int | None = None, rounds: int = 2) -> DataFrame:
     """id, component of all items with a link inside a band group.
 
     ``found``: settled stars (key, id, pivot); ``items``: settled (id, text, size in bytes), an id once for each of its texts.
     Clusters that have room in one block are closed at once. Of the others, groups of band keys follow: each is dealt out anew for
     ``rounds`` rounds while it is in several components and has several blocks; at last pairs of its blocks are compared.
     """
-    comps = links = None
+    limit, comps, links = limit or LIMIT, None, None
 
     def close(blocks: DataFrame) -> None:
         nonlocal comps, links

@@ -28,6 +28,8 @@ from .neardup import band_keys, min_max, unique_by_row
 
 U = np.uint64
 SHINGLE, VALUES, ROWS, LONG = 5, 96, 6, 128
+SHORT, CELL_BITS = LONG * 5 // 4, 10
+CELLS = 1 << CELL_BITS
 
 
 def _lines(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -69,8 +71,12 @@ def _shingles(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     if len(lead) == len(data):
         chars, first = (data.astype(U) + U(1)) * U(B.BASE), at
     else:
-        size = np.minimum(np.diff(lead, append=len(data)), 4)
-        chars, first = ((B.eights(data)[lead] & _BYTES[size]) + U(1)) * U(B.BASE), np.searchsorted(lead, at)
+        chars, first = data[lead].astype(U), np.searchsorted(lead, at)
+        wide = np.flatnonzero(chars >= U(0xC0))
+        size = np.minimum(np.append(lead, len(data))[wide + 1] - lead[wide], 4)
+        chars[wide] = B.eights(data)[lead[wide]] & _BYTES[size]
+        chars += U(1)
+        chars *= U(B.BASE)
     n = np.diff(first)
     row = np.repeat(np.arange(len(n)), n)
     h = B.grams(chars, SHINGLE)
@@ -114,32 +120,53 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(B.longs(batch.column(c))[row]) for c in ("k", "th")] + [pa.array(x.astype(np.int64)) for x in (number, ids[:, 0], ids[:, 1])], names=["k", "th", "line", "id", "id2"])
 
 
+def _sizes(row: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How many distinct shingles each line has, as far as it counts: exact up to SHORT, above that a number above it.
+
+    A line of fewer shingles than LONG has no more distinct ones. Of the others, those whose hashes fall to more cells than a short
+    line may have shingles are long; what is still open is counted.
+    """
+    size, many = n.copy(), np.flatnonzero(n >= LONG)
+    if not len(many):
+        return size
+    cells = np.zeros(len(n) * CELLS, bool)
+    cells[row * CELLS + (h >> U(64 - CELL_BITS)).astype(np.int64)] = True
+    size[many] = np.count_nonzero(cells.reshape(-1, CELLS), 1)[many]
+    many = many[size[many] <= SHORT]
+    if len(many):
+        place = np.full(len(n), -1)
+        place[many] = np.arange(len(many))
+        inside = place[row] >= 0
+        size[many] = np.diff(unique_by_row(place[row[inside]], h[inside], len(many))[1])
+    return size
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, data, at in B.blocks(batches, limit=1 << 18):
         _, _, start, end = _lines(data, at)
         ids = _ids(data, start, end)[:, 0]
         ids, one = np.unique(ids, return_index=True)
         one, ids = one[ids != 0], ids[ids != 0]
+        order = np.argsort(end[one] - start[one], kind="stable")  # by length: lines of one kind mostly follow each other
+        one, ids = one[order], ids[order]
         size = end[one] - start[one]
         text, where = data[B.spread(start[one], size)], np.concatenate(([0], np.cumsum(size)))
         row, h = _shingles(text, where)
         n = np.bincount(row, minlength=len(one))
-        # The size of a set is what counts; a line of fewer shingles than LONG has no more distinct ones.
-        size, many = n.copy(), np.flatnonzero(n >= LONG)
-        if len(many):
-            big = n >= LONG
-            inside = big[row]
-            size[many] = np.diff(unique_by_row((np.cumsum(big) - 1)[row[inside]], h[inside], len(many))[1])
+        first = np.concatenate(([0], np.cumsum(n)))
+        size = _sizes(row, h, n)
         bands = [b""] * len(one)
-        for kind, take in enumerate((size <= LONG * 5 // 4, size >= LONG)):
+        for kind, take in enumerate((size <= SHORT, size >= LONG)):
             which = np.flatnonzero(take)
             if not len(which):
                 continue
-            inside, place = take[row], np.cumsum(take) - 1
-            if kind:
-                values = _bins(h[inside], place[row[inside]], len(which))
+            low, high = which[0], which[-1] + 1
+            if len(which) == high - low:
+                mine, rows = h[first[low] : first[high]], row[first[low] : first[high]] - low
             else:
-                values = min_max(h[inside], np.concatenate(([0], np.cumsum(n[which]))), VALUES // 2)
+                inside = take[row]
+                mine, rows = h[inside], (np.cumsum(take) - 1)[row[inside]]
+            values = _bins(mine, rows, len(which)) if kind else min_max(mine, np.concatenate(([0], np.cumsum(n[which]))), VALUES // 2)
             keys = band_keys(values, ROWS, 1000 * kind).tobytes()
             width = len(keys) // len(which)
             for i, k in enumerate(which.tolist()):

@@ -4,7 +4,10 @@ import random
 
 import brute
 
-from quern.llm import neardup
+import numpy as np
+import pytest
+
+from quern.llm import banding, lines, neardup
 
 
 def test_copies_of_a_text_in_their_midst(spark):
@@ -16,3 +19,47 @@ def test_copies_of_a_text_in_their_midst(spark):
     found = sorted(map(tuple, neardup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string").repartition(5), width=2).select("doc_id", "n_shingles", "component_id", "kept").collect()))
     assert found == sorted(brute.op4(data))
     assert sum(kept for *_, kept in found) < 5
+
+
+@pytest.mark.parametrize("limit", [6_000, 20_000])
+def test_links_where_no_block_has_room_for_a_group(spark, monkeypatch, limit):
+    """Texts that meet in many bands and are mostly unlike; near copies of some of them. Blocks hold about 7 and 25 of 200 texts."""
+    monkeypatch.setattr(banding, "LIMIT", limit)
+    rng = random.Random(6)
+    base, texts = [f"w{i}" for i in range(40)], []
+    for i in range(150):
+        t = base[:]
+        for j in rng.sample(range(40), 4):
+            t[j] = f"x{rng.randrange(10**9)}"
+        texts += [t] if i % 3 else [t, [*t, "more"]]
+    data = list(zip(rng.sample(range(10_000), len(texts)), map(" ".join, texts)))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    found = sorted(map(tuple, neardup.near_duplicates(df, width=2).select("doc_id", "n_shingles", "component_id", "kept").collect()))
+    assert found == sorted(brute.op4(data))
+    told = [(i, f"{t}\n{t} {i}\nown line {i * 7919}") for i, t in data[:60]]
+    found = sorted(map(tuple, lines.dedup_lines(spark.createDataFrame(told, "doc_id long, text string")).select("doc_id", "n_lines", "n_removed", "kept_sha256").collect()))
+    assert found == sorted(brute.op10(told))
+
+
+@pytest.mark.parametrize("n", [2, 5, 40, 400])
+@pytest.mark.parametrize("sides", [1, 2])
+def test_closure_of_a_block(n, sides):
+    rng = np.random.default_rng(n)
+    base = rng.integers(0, 2**63, 300).astype(np.uint64)
+    sets = []
+    for i in range(n):
+        own = base[rng.random(300) < rng.choice([0.3, 0.9, 0.99])] if i % 4 else rng.integers(0, 2**63, rng.integers(1, 40)).astype(np.uint64)
+        sets.append(np.unique(own) if i % 7 or not i else sets[i - 1])
+    cut = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    label, side = rng.permutation(n // 2 + 1).repeat(2)[:n] * 10, rng.integers(0, sides, n)
+    a, b = banding._closure(np.concatenate(sets), cut, label, side, 80)
+    links = list(zip(label.tolist(), label.tolist()))
+    several = len(set(side.tolist())) > 1
+    for i in range(n):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both) and both and (side[i] != side[j] or not several):
+                links.append((int(label[i]), int(label[j])))
+    names = sorted(set(label.tolist()))
+    assert brute.components(names, list(zip(a.tolist(), b.tolist()))) == brute.components(names, links)
+    assert len(a) < len(names)

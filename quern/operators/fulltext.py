@@ -1,7 +1,7 @@
 """Ranked full-text search (BM25) over a text column.
 
 Tokens are runs of letters, digits and underscores, inner apostrophes and full stops included, lower-cased; no stemming, no stop words.
-Scripts without spaces between words come as whole runs. Document lengths are exact.
+Scripts without spaces between words come as whole runs. Document lengths are exact, or one byte's worth with ``quantised``.
 """
 
 from __future__ import annotations
@@ -14,6 +14,13 @@ TOKEN = r"[\p{L}\p{N}_]+(?:['.][\p{L}\p{N}_]+)*"
 K1, B = 1.2, 0.75
 
 
+def quantised(length: Column) -> Column:
+    """The least length that one byte tells from this one: exact below 64, then four significant bits; at most 30 bits are told apart."""
+    n = F.least(length.cast("bigint"), F.lit((1 << 30) - 1))
+    drop = F.greatest(F.length(F.bin(n)) - 4, F.lit(0))
+    return F.when(n < 64, n).otherwise(F.call_function("shiftleft", F.call_function("shiftright", n, drop), drop))
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), F.lit(1))
 
@@ -89,10 +96,13 @@ def search(docs: DataFrame, text: str, query: str, k: int, where: Filter | None
     return project(rest.join(F.broadcast(best), id), fields, id).orderBy(F.desc("score"), F.asc(id))  # best: k rows
 
 
-def indexed_scores(index: DataFrame, corpus: DataFrame, terms: list[str], id: str = "id") -> DataFrame:
-    """id, score from stored postings (see postings(); best written sorted by term, whose filter then skips row groups) and stats()."""
+def indexed_scores(index: DataFrame, corpus: DataFrame, terms: list[str], id: str = "id", byte_lengths: bool = False) -> DataFrame:
+    """id, score from stored postings (see postings(); best written sorted by term, whose filter then skips row groups) and stats().
+
+    ``byte_lengths``: documents have quantised() lengths; the average stays exact.
+    """
     hits = index.where(F.col("term").isin(*terms))
     dfs = hits.groupBy("term").agg(F.count("*").cast("double").alias("df"))  # a row for each term of the query
     both = hits.join(F.broadcast(dfs), "term").crossJoin(F.broadcast(corpus))
-    each = hit(idf(F.col("n_docs").cast("double"), F.col("df")), F.col("tf").cast("double"), F.col("dl").cast("double"), F.col("avgdl"))
+    each = hit(idf(F.col("n_docs").cast("double"), F.col("df")), F.col("tf").cast("double"), (quantised(F.col("dl")) if byte_lengths else F.col("dl")).cast("double"), F.col("avgdl"))
     return both.groupBy(id).agg(F.sum(each).alias("score"))

@@ -38,6 +38,19 @@ def next_sequence(log: DataFrame) -> int:
     return int(log.agg(F.coalesce(F.max("sequence") + 1, F.lit(0))).first()[0])
 
 
+def watermark(log: DataFrame, first: int = 0) -> DataFrame:
+    """next_sequence: all from ``first`` to below it are there. The least number whose predecessor is there and which is not."""
+    there = log.where(F.col("sequence") >= first).select("sequence").distinct()
+    after = there.select((F.col("sequence") + 1).alias("sequence")).union(log.sparkSession.range(1).select(F.lit(first).cast("bigint").alias("sequence")))
+    return after.join(there, "sequence", "left_anti").agg(F.min("sequence").alias("next_sequence"))
+
+
+def subscribe(log: DataFrame, key=None, cursor: int = 0, first: int = 0) -> DataFrame:
+    """A key's entries from ``cursor`` on that are durable: those below the watermark, whatever has arrived beyond a gap."""
+    upto = watermark(log, first).first()[0]
+    return scan(log, key, cursor, int(upto))
+
+
 def scan(log: DataFrame, key=None, low: int | None = None, high: int | None = None) -> DataFrame:
     """A key's entries with sequences in [low, high), in order; all keys' without a key."""
     rows = log if key is None else log.where(F.col("key") == F.lit(key))

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 METRICS = ("l2", "cosine", "dot")
@@ -172,6 +173,57 @@ def search_many(rows: DataFrame, queries: list[tuple[object, list[float]]], k: i
     return found.select(names[F.col("n")].alias("query_id"), "rank", F.col("id").alias(id), "score")
 
 
+def search_blocks(rows: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id: str = "id", vector: str = "vector", shard_rows: int = 1 << 16, lot: int = 256) -> DataFrame:
+    """query_id, rank, id, score for a table of queries (id, vector) of any size, each against all rows.
+
+    Rows are dealt out to shards of about ``shard_rows``, which hold them as one block; queries travel in lots to every shard and are
+    answered as they stream by, k kept a shard, so no task holds more than a shard and a lot.
+    """
+    _check(rows, vector, [0.0], metric)
+    spark, kind = rows.sparkSession, rows.schema[id].dataType.simpleString()
+    shards = max(1, math.ceil(rows.count() / shard_rows))
+    v = normalised(doubles(F.col(vector))) if metric == "cosine" else doubles(F.col(vector))
+
+    def block(ids: pa.Array, vectors: pa.Array) -> tuple[list, bytes]:
+        return ids.to_pylist(), vectors.flatten().to_numpy(zero_copy_only=False).astype(float).tobytes()
+
+    def pack(table: pa.Table) -> pa.Table:
+        t = table.combine_chunks()
+        ids, x = block(t.column("id").combine_chunks(), t.column("v").combine_chunks())
+        return pa.table([t.column("shard")[:1], pa.array([0], pa.int32()), pa.array([ids], pa.list_(t.schema.field("id").type)), pa.array([x], pa.binary())], names=["shard", "part", "ids", "x"])
+
+    def lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), lot):
+                ids, x = block(batch.column("id").slice(i, lot), batch.column("v").slice(i, lot))
+                yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(batch.schema.field("id").type)), pa.array([x], pa.binary())], names=["ids", "x"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, ids, x in zip(*(batch.column(c) for c in ("part", "ids", "x"))):
+                if part.as_py() == 0:
+                    own = ids.values.to_numpy(zero_copy_only=False)
+                    have = np.frombuffer(x.as_py(), float).reshape(len(own), -1)
+                    continue
+                asked = ids.as_py()
+                q = np.frombuffer(x.as_py(), float).reshape(len(asked), -1)
+                found = []
+                for one in q:
+                    s = (have * one).sum(1) if metric == "dot" else ((have - one) ** 2).sum(1)
+                    found.append((best := np.lexsort((own, -s if metric == "dot" else s))[:k], s[best]))
+                n = min(k, len(own))
+                places = np.concatenate([b for b, _ in found])
+                yield pa.RecordBatch.from_arrays([pa.array([a for a in asked for _ in range(n)], ids.values.type), pa.array(own[places], ids.values.type), pa.array(np.concatenate([s for _, s in found]))], names=["query_id", "id", "score"])
+
+    schema = f"ids array<{kind}>, x binary"
+    packed = rows.select(F.pmod(F.xxhash64(id), F.lit(shards)).cast("int").alias("shard"), F.col(id).alias("id"), v.alias("v")).groupBy("shard").applyInArrow(pack, f"shard int, part int, {schema}")
+    asked = queries.select(F.col(id).alias("id"), v.alias("v")).mapInArrow(lots, schema).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("part"), "ids", "x")
+    both = packed.union(asked).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard").sortWithinPartitions("shard", "part")
+    found = both.select("part", "ids", "x").mapInArrow(answer, f"query_id {kind}, id {kind}, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score") if metric == "dot" else F.asc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id), "score")
+
+
 # The partitioned index ---------------------------------------------------------------------------
 
 
@@ -185,6 +237,7 @@ class Index:
     id: str
     vector: str
     columns: tuple[str, ...] = field(default=())
+    copies: int = 1  #: centroids that hold each row
 
     def search(self, q, k: int, nprobe: int | None = None, epsilon: float | None = None, where: Filter | None = None, fields: list[str] | None = None) -> DataFrame:
         """k nearest of the postings of the nearest centroids: ``nprobe`` of them (default: k, at least 10, at most 100), less those that
@@ -193,7 +246,8 @@ class Index:
         chosen = self.probe(q, nprobe or min(max(k, 10), 100), epsilon)
         rows = self.postings.where(F.col("centroid_id").isin(*chosen)).drop("centroid_id")
         found = scored(rows, q, self.metric, self.vector, where)
-        # A row has one centroid, so there is nothing to dedupe.
+        if self.copies > 1:
+            found = found.dropDuplicates([self.id])  # copies of a row have one score
         return project(top(found, k, self.metric, self.id), fields, self.id)
 
     def probe(self, q, nprobe: int, epsilon: float | None = None) -> list[int]:
@@ -230,14 +284,61 @@ def build(rows: DataFrame, centroids: int, metric: str = "l2", sample: int = 100
     luck = F.pmod(F.xxhash64(id, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     x = np.array([r[0] for r in rows.where(luck * n < sample).select(v).collect()], float)
     c = lloyd(x, min(centroids, len(x)), seed=seed) if len(x) else np.zeros((0, 0))
+    return assigned(rows, c, metric, id, vector)
+
+
+def assigned(rows: DataFrame, centroids: np.ndarray, metric: str = "l2", id: str = "id", vector: str = "vector", copies: int = 1) -> Index:
+    """The index of these centroids (a number the caller chose): every row goes to its nearest one, or to its ``copies`` nearest."""
+    c, v = np.asarray(centroids, float), doubles(F.col(vector))
+    v = normalised(v) if metric == "cosine" else v
     shared = rows.sparkSession.sparkContext.broadcast(c)
 
-    @F.pandas_udf(T.IntegerType())
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def nearest(x: pd.Series) -> pd.Series:
-        x, c = np.stack(x.to_numpy()).astype(float), shared.value
-        return pd.Series(np.argmin((c * c).sum(1) - 2 * (x @ c.T), 1).astype(np.int32))
+        c = shared.value
+        if not len(x):
+            return pd.Series([], dtype=object)
+        x = np.stack(x.to_numpy()).astype(float)
+        return pd.Series(list(np.argsort((c * c).sum(1) - 2 * (x @ c.T), 1, kind="stable")[:, :copies].astype(np.int32)))
+
+    postings = rows.withColumn("centroid_id", F.explode(nearest(v)) if len(c) else F.lit(0))
+    return Index(c, postings, metric, id, vector, tuple(rows.columns), copies)
+
 
-    return Index(c, rows.withColumn("centroid_id", nearest(v) if len(c) else F.lit(0)), metric, id, vector, tuple(rows.columns))
+def maintained(index: Index, split: int = 150, merge: int = 50, rounds: int = 20, sample: int = 20_000) -> Index:
+    """The index with lists of at most ``split`` rows, as far as their vectors differ, and lists of fewer than ``merge`` given up.
+
+    Each round divides lists that are too long in two, by 2-means on at most about ``sample`` of their rows a list, and drops the
+    centroids of lists that are too short; rows then go to their nearest centroid, as neighbours of a changed list may have to. Rows
+    are assigned on executors; the driver holds centroids, and of each list to be divided the sums of two halves.
+    """
+    rows = index.postings.select(*index.columns).distinct() if index.copies > 1 else index.postings.select(*index.columns)
+    v = doubles(F.col(index.vector))
+    v = normalised(v) if index.metric == "cosine" else v
+    for turn in range(rounds):
+        index = assigned(rows, index.centroids, index.metric, index.id, index.vector)
+        n = {r["centroid_id"]: r["count"] for r in index.postings.groupBy("centroid_id").count().collect()}
+        long = [i for i, x in n.items() if x > split]
+        short = [i for i in range(len(index.centroids)) if n.get(i, 0) < merge] if turn % 2 == 0 and turn < rounds - 2 else [i for i in range(len(index.centroids)) if i not in n]
+        short = short[: max(0, len(index.centroids) - 1)] if len(short) == len(index.centroids) else short
+        if not long and not short:
+            break
+
+        def halves(pdf: pd.DataFrame) -> pd.DataFrame:
+            c = lloyd(np.stack(pdf["v"].to_numpy()).astype(float), 2, 8)
+            return pd.DataFrame({"centroid_id": int(pdf["centroid_id"].iloc[0]), "c": list(c)})
+
+        sizes = index.postings.sparkSession.createDataFrame([(i, n[i]) for i in long], "centroid_id int, n long")
+        luck = F.pmod(F.xxhash64(index.id, F.lit(turn)), F.lit(1 << 30)) / float(1 << 30)
+        some = index.postings.join(F.broadcast(sizes), "centroid_id").where(luck * F.col("n") < sample).select("centroid_id", v.alias("v"))
+        new = [r["c"] for r in some.groupBy("centroid_id").applyInPandas(halves, "centroid_id int, c array<double>").orderBy("centroid_id", "c").collect()]
+        gone = {*long, *short}
+        kept = [c for i, c in enumerate(index.centroids) if i not in gone]
+        centroids = np.array([*kept, *new], float).reshape(-1, index.centroids.shape[1])
+        if len(centroids) == 0:
+            centroids = index.centroids[:1]
+        index = assigned(rows, centroids, index.metric, index.id, index.vector)
+    return index
 
 
 def write(index: Index, path: str) -> None:
@@ -290,6 +391,12 @@ def get(rows: DataFrame, ids: list, fields: list[str] | None = None, id: str = "
     return found if fields is None else found.select(id, *[c for c in fields if c != id])
 
 
+def lookup(rows: DataFrame, wanted: DataFrame, fields: list[str] | None = None, id: str = "id") -> DataFrame:
+    """The rows of the ids in ``wanted`` (id, place), in the order of the places; ids that are missing are left out."""
+    found = wanted.select(F.col(id), F.col("place").alias("_place")).join(rows, id).orderBy("_place", id).drop("_place")
+    return found if fields is None else found.select(id, *[c for c in fields if c != id])
+
+
 def request(rows: DataFrame, body: dict, metric: str = "l2", index: Index | None = None, id: str = "id", vector: str = "vector", text: str | None = None) -> DataFrame:
     """A search request: {vector | bm25: {query}, k, nprobe, filter, includeFields}. Both kinds at once are an error."""
     where = filter_of(body["filter"]) if body.get("filter") else None

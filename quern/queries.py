@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .operators import discovery, fulltext, logs, similarity as sim
 from .plans.planner import Engine
-from .sources import exposition, otlp
+from .sources import exposition, otlp, remote_write
 from .sources.metrics import HOUR, Metrics, normalise
 from .sources.shared import shared_folder
 
@@ -154,6 +154,13 @@ promql("i38_vector", "vector(time() / 2)", "SELECT step AS ts_ms, step / 2000.0:
 promql("l1_label_replace", 'label_replace(events_value, "kind", "$1-x", "event_type", "(c.*|v.*)")', f"SELECT __name__, {_KEYS}, CASE WHEN event_type ~ '^[cv]' THEN event_type || '-x' ELSE '' END AS kind, value FROM inst")
 promql("l2_label_join", 'label_join(events_value, "both", "/", "event_type", "user_id", "none")', f"SELECT __name__, {_KEYS}, event_type || '/' || user_id || '/' AS both, value FROM inst")
 
+# Series that a new label makes one are one as long as they have no step in common (in common, it is an error).
+_HALF = START + 15 * DAY
+promql(
+    "l3_label_collision", f'label_replace((events_value{{user_id="1"}} and on() (vector(time()) < {_HALF // 1000})) or (events_value{{user_id="2"}} and on() (vector(time()) >= {_HALF // 1000})), "user_id", "x", "user_id", ".*")',
+    f"SELECT __name__, event_type, 'x' AS user_id, step AS ts_ms, value FROM inst WHERE (user_id = '1' AND step < {_HALF}) OR (user_id = '2' AND step >= {_HALF})",
+)
+
 # A: aggregations.
 for _n, _f, _x in (("a1_sum", "sum", "sum(value)"), ("a2_avg", "avg", "avg(value)"), ("a3_min", "min", "min(value)"), ("a4_max", "max", "max(value)"), ("a5_count", "count", "count(*)"), ("a6_stddev", "stddev", "stddev_pop(value)"), ("a7_stdvar", "stdvar", "var_pop(value)"), ("a8_group", "group", "1")):
     promql(f"{_n}_by", f"{_f} by (event_type) (events_value)", f"SELECT event_type, step AS ts_ms, CAST({_x} AS DOUBLE) AS value FROM inst GROUP BY event_type, step", 7)
@@ -179,6 +186,8 @@ promql("j1_vector_vector", f"events_value / avg_over_time({RANGE})", f"SELECT ev
 _J2 = 'sum by (event_type, user_id) (events_value{event_type="click"}) - on(user_id) sum by (event_type, user_id) (events_value{event_type="view"})'
 promql("j2_on", _J2, "SELECT user_id, a.step AS ts_ms, a.value - b.value AS value FROM inst a JOIN inst b USING (user_id, step) WHERE a.event_type = 'click' AND b.event_type = 'view'")
 promql("j2_ignoring", _J2.replace("on(user_id)", "ignoring(event_type)"), ORACLE_SQL["j2_on"].split("FROM (", 1)[1][:-1])
+promql("j3_one_to_one_labels", 'events_value{event_type="click"} * ignoring(event_type) events_value{event_type="error"}', "SELECT user_id, a.step AS ts_ms, a.value * b.value AS value FROM inst a JOIN inst b USING (user_id, step) WHERE a.event_type = 'click' AND b.event_type = 'error'")
+promql("j4_first_of_duplicates", 'events_value{event_type="click"} * on(user_id) events_value', "SELECT user_id, a.step AS ts_ms, a.value * b.v AS value FROM inst a JOIN (SELECT user_id, step, min(value) AS v FROM inst GROUP BY ALL) b USING (user_id, step) WHERE a.event_type = 'click'", first_wins=True)
 promql("j5_group_left", "events_value / on(event_type) group_left sum by (event_type) (events_value)", "SELECT event_type, user_id, i.step AS ts_ms, i.value / a.s AS value FROM inst i JOIN (SELECT event_type, step, sum(value) AS s FROM inst GROUP BY ALL) a USING (event_type, step)", 9)
 promql("j6_group_right", "sum by (event_type) (events_value) - on(event_type) group_right events_value", "SELECT event_type, user_id, i.step AS ts_ms, a.s - i.value AS value FROM inst i JOIN (SELECT event_type, step, sum(value) AS s FROM inst GROUP BY ALL) a USING (event_type, step)")
 promql("j7_scalar_vector", "100 - events_value", _each("100 - value"))
@@ -237,13 +246,16 @@ def d4_metadata(spark, sf_dir):
     return discovery.metadata(Metrics(m.samples, m.labels, metadata=exposition.metadata(lines)))
 
 
-@register("d5_federate", f"""{_BASE} SELECT 'events_value{{event_type="' || event_type || '",user_id="' || user_id || '"}} ' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || ' ' || CAST(step AS VARCHAR) AS line FROM inst WHERE step = {START + 15 * DAY} AND event_type = 'click' AND value = floor(value)""")
+_NUMBER = "CASE WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE CAST(value AS VARCHAR) END"  # shortest digits
+
+
+@register("d5_federate", f"""{_BASE} SELECT 'events_value{{event_type="' || event_type || '",user_id="' || user_id || '"}} ' || {_NUMBER} || ' ' || CAST(step AS VARCHAR) AS line FROM inst WHERE step = {START + 15 * DAY} AND event_type = 'click'""")
 def d5_federate(spark, sf_dir):
-    found = discovery.federate(events_metrics(spark, sf_dir), ['events_value{event_type="click"}', 'events_value{event_type="click",user_id!=""}'], START + 15 * DAY, SPAN)
-    return found.where(~F.col("line").rlike(r"\} -?\d+\.\d"))
+    return discovery.federate(events_metrics(spark, sf_dir), ['events_value{event_type="click"}', 'events_value{event_type="click",user_id!=""}'], START + 15 * DAY, SPAN)
 
 
-@register("d7_active_series")
+# Sketches of so few series are exact.
+@register("d7_active_series", "SELECT m + k AS minute, count(DISTINCT (event_type, user_id)) AS active FROM (SELECT event_type, user_id, epoch_us(ts) // 60000000 AS m FROM events), range(15) t(k) GROUP BY 1")
 def d7_active_series(spark, sf_dir):
     return discovery.active_series(events_metrics(spark, sf_dir).samples, ["l_event_type", "l_user_id"])
 
@@ -276,6 +288,43 @@ def w3_exposition(spark, sf_dir):
     return found.select(F.col("labels")["id"].cast("bigint").alias("event_id"), F.col("labels")["event_type"].alias("event_type"), F.col("labels")["user_id"].alias("user_id"), F.col("labels")["__name__"].alias("name"), "ts_ms", "value")
 
 
+def _label_rows(e: DataFrame) -> DataFrame:
+    labels = F.create_map(F.lit("__name__"), F.lit("events_value"), F.lit("event_type"), "event_type", F.lit("user_id"), F.col("user_id").cast("string"), F.lit("id"), F.col("event_id").cast("string"))
+    return e.select(labels.alias("labels"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), "value")
+
+
+@register("w2_remote_write", "SELECT event_id, event_type, CAST(user_id AS VARCHAR) AS user_id, 'events_value' AS name, epoch_us(ts) // 1000 AS ts_ms, value, false AS stale FROM events")
+def w2_remote_write(spark, sf_dir):
+    """All events as compressed requests, and decoded again."""
+    found = remote_write.decode(remote_write.encode(_label_rows(table(spark, sf_dir, "events"))))
+    of = F.col("labels")
+    return found.select(of["id"].cast("bigint").alias("event_id"), of["event_type"].alias("event_type"), of["user_id"].alias("user_id"), of["__name__"].alias("name"), "ts_ms", "value", "stale")
+
+
+@register("w4_scrape", f"SELECT 'api' AS job, 'host:1' AS instance, 'events_total' AS name, CAST(event_id AS VARCHAR) AS id, {END} AS ts_ms, value FROM events UNION ALL SELECT 'api', 'host:1', 'up', '', {END}, 1.0 UNION ALL SELECT 'down', 'host:2', 'up', '', {END}, 0.0")
+def w4_scrape(spark, sf_dir):
+    """One target's page with its own labels, and one that failed."""
+    e = table(spark, sf_dir, "events")
+    page = exposition.parse(e.select(F.format_string('events_total{id="%d"} %s', "event_id", F.col("value").cast("string")).alias("value")), END)
+    both = exposition.scraped(page, "api", "host:1", END).unionByName(exposition.scraped(page, "down", "host:2", END, ok=False))
+    return both.select(*[F.coalesce(F.col("labels")[x], F.lit("")).alias(x.strip("_")) for x in ("job", "instance", "__name__", "id")], "ts_ms", "value")
+
+
+@register("w11_buffered_otlp", "SELECT event_type, CAST(event_id AS VARCHAR) AS id, epoch_us(ts) // 1000 AS ts_ms, value, epoch_us(ts) // 3600000000 AS bucket_hour FROM events")
+def w11_buffered_otlp(spark, sf_dir):
+    """OTLP requests through the buffer, each batch stored exactly once."""
+    from .streaming import ingest
+
+    folder = f"{shared_folder(spark)}/otlp-{uuid.uuid4().hex}"
+    e = table(spark, sf_dir, "events").select(F.struct(F.array(_attribute("event_type", F.col("event_type")), _attribute("id", F.col("event_id"))).alias("attributes"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("timeUnixNano"), F.col("value").alias("asDouble"), F.lit(None).cast("bigint").alias("asInt")).alias("p"), "event_id")
+    for part in range(3):
+        requests = _request(e.where(F.col("event_id") % 3 == part).select("p"), "gauge")
+        ingest.produce(requests.select(F.to_json(F.struct("resourceMetrics")).alias("entry")), f"{folder}/in", START + part)
+    ingest.exactly_once(ingest.consume(spark, f"{folder}/in", files=4), f"{folder}/checkpoint", f"{folder}/out", ingest.otlp_samples).awaitTermination()
+    found = spark.read.schema("series_id bigint, labels map<string,string>, ts_ms bigint, value double, bucket_hour bigint").parquet(f"{folder}/out")
+    return found.select(F.col("labels")["event_type"].alias("event_type"), F.col("labels")["id"].alias("id"), "ts_ms", "value", "bucket_hour")
+
+
 def _attribute(key: str, value) -> F.Column:
     none = lambda t: F.lit(None).cast(t)
     return F.struct(F.lit(key).alias("key"), F.struct(value.cast("string").alias("stringValue"), none("string").alias("intValue"), none("double").alias("doubleValue"), none("boolean").alias("boolValue")).alias("value"))
@@ -398,11 +447,11 @@ def v2_normalise(spark, sf_dir):
     return _vectors(spark, sf_dir).select("id", F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
-@register("v3_many_queries", f"WITH e AS (SELECT vec_id, {_V} AS v FROM embeddings) SELECT a.vec_id AS query_id, CAST(row_number() OVER w AS INTEGER) AS rank, b.vec_id AS id FROM e a, e b WHERE a.vec_id < 10 WINDOW w AS (PARTITION BY a.vec_id ORDER BY list_inner_product(a.v, b.v) DESC, b.vec_id) QUALIFY row_number() OVER w <= 10")
+@register("v3_many_queries", f"WITH e AS (SELECT vec_id, {_V} AS v FROM embeddings) SELECT a.vec_id AS query_id, CAST(row_number() OVER w AS INTEGER) AS rank, b.vec_id AS id FROM e a, e b WHERE a.vec_id % 100 = 0 WINDOW w AS (PARTITION BY a.vec_id ORDER BY list_inner_product(a.v, b.v) DESC, b.vec_id) QUALIFY row_number() OVER w <= 10")
 def v3_many_queries(spark, sf_dir):
+    """Every row whose id is divisible by 100, in blocks, against all rows."""
     rows = _vectors(spark, sf_dir)
-    queries = [(r["id"], list(r["vector"])) for r in rows.where("id < 10").collect()]
-    return sim.search_many(rows, queries, 10, "dot").select("query_id", "rank", "id")
+    return sim.search_blocks(rows, rows.where("id % 100 = 0"), 10, "dot").select("query_id", "rank", "id")
 
 
 @register("v4_index_search")
@@ -411,6 +460,62 @@ def v4_index_search(spark, sf_dir):
     return sim.build(_vectors(spark, sf_dir), 32).search(_query_vector(spark, sf_dir), 20, nprobe=16, epsilon=1.0, fields=["label"])
 
 
+_CENTROIDS = 16  # of the index that SQL can follow: the vectors with the least ids
+_LISTS = f"""WITH e AS (SELECT vec_id, label, {_V} AS v FROM embeddings), c AS (SELECT vec_id AS cid, v AS cv FROM e WHERE vec_id < {_CENTROIDS}), q AS (SELECT v AS q FROM e WHERE vec_id = 107),
+near AS (SELECT vec_id, label, v, cid, row_number() OVER (PARTITION BY vec_id ORDER BY list_inner_product(cv, cv) - 2 * list_inner_product(v, cv), cid) AS n FROM e, c),
+probe AS (SELECT cid, list_inner_product(cv, cv) - 2 * list_inner_product(cv, q) + list_inner_product(q, q) AS d FROM c, q), ranked AS (SELECT *, row_number() OVER (ORDER BY d, cid) AS r, min(d) OVER () AS d0 FROM probe)"""
+
+
+def _listed(spark: SparkSession, sf_dir: str, copies: int = 1) -> tuple[sim.Index, list[float]]:
+    import numpy as np
+
+    rows = _vectors(spark, sf_dir)
+    few = {r["id"]: list(r["vector"]) for r in rows.where(F.col("id") < _CENTROIDS).unionByName(rows.where("id = 107")).collect()}
+    return sim.assigned(rows, np.array([few[i] for i in range(_CENTROIDS)], float), copies=copies), few[107]
+
+
+def _probed(name: str, lists: str, probe: str, copies: int = 1, **how) -> None:
+    sql = f"{_LISTS} SELECT DISTINCT vec_id AS id, label, round(list_inner_product(v, v) - 2 * list_inner_product(v, q) + list_inner_product(q, q), 6) AS score FROM near JOIN ranked USING (cid), q WHERE {lists} AND {probe} ORDER BY score, id LIMIT 20"
+
+    @register(name, sql)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        index, q = _listed(spark, sf_dir, copies)
+        return index.search(q, 20, fields=["label"], **how).withColumn("score", F.round("score", 6))
+
+
+_probed("v4_index_probe", "n = 1", "r <= 4", nprobe=4)
+_probed("v5_pruned_probe", "n = 1", "r <= 12 AND d <= 1.21 * d0", nprobe=12, epsilon=0.1)
+_probed("v6_copies_deduped", "n <= 2", "r <= 4", copies=2, nprobe=4)
+
+
+@register("v11_lookup", "SELECT vec_id AS id, label FROM embeddings WHERE vec_id % 3 = 0")
+def v11_lookup(spark, sf_dir):
+    """Ids asked for from a table, half of them missing, in its order."""
+    rows = _vectors(spark, sf_dir)
+    wanted = rows.where("id % 3 = 0").select("id").union(rows.select(-F.col("id") - 1)).select(F.col("id").alias("id"), (-F.col("id")).alias("place"))
+    return sim.lookup(rows, wanted, ["label"])
+
+
+@register("v12_project", f"WITH e AS (SELECT vec_id, label, {_V} AS v, {_Q} AS q FROM embeddings) SELECT 'none' AS fields, vec_id AS id, CAST(NULL AS INTEGER) AS label, CAST(NULL AS INTEGER) AS size, round(list_inner_product(v, q), 6) AS score FROM e UNION ALL SELECT 'some', vec_id, label, NULL, round(list_inner_product(v, q), 6) FROM e UNION ALL SELECT 'all', vec_id, label, 64, round(list_inner_product(v, q), 6) FROM e")
+def v12_project(spark, sf_dir):
+    """None, some and all attributes."""
+    found = sim.scored(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), "dot").withColumn("score", F.round("score", 6))
+    parts = [sim.project(found, f).withColumn("fields", F.lit(k)) for k, f in (("none", []), ("some", ["label"]), ("all", None))]
+    both = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+    return both.select("fields", "id", "label", F.when(F.col("vector").isNotNull(), F.size("vector")).alias("size"), "score")
+
+
+@register("v15_maintenance", "SELECT count(*) AS rows, count(DISTINCT vec_id) AS ids, CAST(0 AS BIGINT) AS too_long, true AS all_nearest FROM embeddings")
+def v15_maintenance(spark, sf_dir):
+    """Lists far too long are divided; every row is still there, under its nearest centroid."""
+    rows = _vectors(spark, sf_dir)
+    index = sim.maintained(sim.build(rows, 2), split=150, merge=10)
+    sizes = index.postings.groupBy("centroid_id").agg(F.count("*").alias("n")).agg(F.sum("n").alias("rows"), F.sum((F.col("n") > 150).cast("bigint")).alias("too_long"))
+    again = sim.assigned(rows, index.centroids).postings.select("id", F.col("centroid_id").alias("c"))
+    same = index.postings.join(again, "id").agg(F.count_distinct("id").alias("ids"), F.bool_and(F.col("centroid_id") == F.col("c")).alias("all_nearest"))
+    return sizes.crossJoin(same).select("rows", "ids", "too_long", "all_nearest")  # one row each
+
+
 @register("v7_index_exact", ORACLE_SQL["v1_l2"])
 def v7_index_exact(spark, sf_dir):
     """With every centroid probed the index gives what a scan gives."""
@@ -466,6 +571,15 @@ def t9_bm25_postings(spark, sf_dir):
     return fulltext.indexed_scores(fulltext.postings(docs, "text", "doc_id"), fulltext.stats(docs, "text"), list(_TERMS), "doc_id").withColumn("score", F.round("score", 6))
 
 
+_BYTE = "CASE WHEN dl < 64 THEN dl ELSE (dl >> greatest(length(bin(dl)) - 4, 0)) << greatest(length(bin(dl)) - 4, 0) END"
+
+
+@register("t6_byte_lengths", f"{_BM.replace('FROM hits JOIN dfs', f'FROM (SELECT * REPLACE ({_BYTE} AS dl) FROM hits) JOIN dfs')} SELECT doc_id, round(s, 6) AS score FROM sc")
+def t6_byte_lengths(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return fulltext.indexed_scores(fulltext.postings(docs, "text", "doc_id"), fulltext.stats(docs, "text"), list(_TERMS), "doc_id", byte_lengths=True).withColumn("score", F.round("score", 6))
+
+
 @register("t10_bm25_filtered", f"{_BM} SELECT doc_id, round(s, 6) AS score FROM sc JOIN documents USING (doc_id) WHERE lang = 'en' ORDER BY s DESC, doc_id LIMIT 25")
 def t10_bm25_filtered(spark, sf_dir):
     return fulltext.search(table(spark, sf_dir, "documents"), "text", " ".join(_TERMS), 25, sim.eq("lang", "en"), [], "doc_id").withColumn("score", F.round("score", 6))
@@ -530,6 +644,23 @@ def g9_inspect(spark, sf_dir):
     return logs.inspect(_log(spark, sf_dir))
 
 
+_GAPS = "(SELECT * FROM (SELECT user_id AS key, event_id AS sequence FROM events) WHERE sequence % 997 <> 500)"
+
+
+@register("g10_watermark", f"SELECT min(s) AS next_sequence FROM (SELECT sequence + 1 AS s FROM {_GAPS} UNION ALL SELECT (SELECT min(event_id) FROM events)) WHERE s NOT IN (SELECT sequence FROM {_GAPS})")
+def g10_watermark(spark, sf_dir):
+    """Of a log with gaps."""
+    log = _log(spark, sf_dir).where("sequence % 997 <> 500")
+    return logs.watermark(log, log.agg(F.min("sequence")).first()[0])
+
+
+@register("g10_subscribe", f"SELECT key, sequence FROM {_GAPS} WHERE sequence < 500 AND sequence >= 100")
+def g10_subscribe(spark, sf_dir):
+    """What is beyond the first gap has to wait."""
+    log = _log(spark, sf_dir).where("sequence % 997 <> 500")
+    return logs.subscribe(log, None, 100, log.agg(F.min("sequence")).first()[0]).select("key", "sequence")
+
+
 @register("k1_put_delete", "SELECT c_custkey AS key, CASE WHEN c_custkey % 4 = 0 THEN 'changed' ELSE c_name END AS value FROM customer WHERE c_custkey % 6 <> 0")
 def k1_put_delete(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("value"), F.lit(False).alias("deleted"), F.lit(1).alias("seq"))
@@ -556,3 +687,42 @@ def u1_buffer_roundtrip(spark, sf_dir):
     parsed = lambda b: b.select(F.from_json(F.col("entry").cast("string"), "event_id bigint, event_type string").alias("e")).select("e.*")
     ingest.exactly_once(ingest.consume(spark, f"{folder}/in", files=4), f"{folder}/checkpoint", f"{folder}/out", parsed).awaitTermination()
     return spark.read.schema("event_id bigint, event_type string").parquet(f"{folder}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+def _buffer(spark: SparkSession, sf_dir: str, parts: int) -> str:
+    """Events in ``parts`` batches of one file, a minute apart."""
+    from .streaming import ingest
+
+    folder = f"{shared_folder(spark)}/buffer-{uuid.uuid4().hex}"
+    e = table(spark, sf_dir, "events").select(F.to_json(F.struct("event_id", "event_type")).cast("binary").alias("entry"), F.col("event_id"))
+    for part in range(parts):
+        ingest.produce(e.where(F.col("event_id") % parts == part).drop("event_id").coalesce(1), folder, START + 60_000 * part)
+    return folder
+
+
+@register("u2_descriptors", f"SELECT event_id % 4 AS sequence, {START} + 60000 * (event_id % 4) AS ingestion_time_ms, count(*) AS entries FROM events GROUP BY ALL")
+def u2_descriptors(spark, sf_dir):
+    from .streaming import ingest
+
+    return ingest.descriptors(spark, _buffer(spark, sf_dir, 4)).select(F.col("sequence").cast("bigint").alias("sequence"), "ingestion_time_ms", "entries")
+
+
+@register("u3_acknowledged", "SELECT CAST(2 AS BIGINT) AS next_sequence")
+def u3_acknowledged(spark, sf_dir):
+    """Of six batches all but the third are acknowledged: the position stays at it."""
+    from .streaming import ingest
+
+    batches = ingest.descriptors(spark, _buffer(spark, sf_dir, 6))
+    return ingest.acknowledged(batches.where("sequence <> 2"))
+
+
+@register("u5_collected", "SELECT event_type, count(*) AS n, CAST(2 AS BIGINT) AS files FROM events WHERE event_id % 6 >= 2 GROUP BY event_type")
+def u5_collected(spark, sf_dir):
+    """Four batches were consumed, two of them before the grace period: these are gone."""
+    from .streaming import ingest
+
+    folder = _buffer(spark, sf_dir, 6)
+    done = ingest.descriptors(spark, folder).where("sequence < 4")
+    gone = ingest.collected(spark, folder, done, START + 60_000 * 5, 60_000 * 3 + 1)
+    rest = spark.read.schema(ingest.BUFFER).parquet(folder).select(F.from_json(F.col("entry").cast("string"), "event_id bigint, event_type string").alias("e"))
+    return rest.groupBy("e.event_type").agg(F.count("*").alias("n"), F.lit(gone).cast("bigint").alias("files"))

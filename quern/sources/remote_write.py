@@ -72,6 +72,39 @@ def series(message: bytes) -> Iterator[tuple[dict[str, str], list[tuple[int, flo
             yield dict(sorted(labels.items())), samples
 
 
+def _packed(number: int, x: bytes) -> bytes:
+    return _number(number << 3 | 2) + _number(len(x)) + x
+
+
+def _number(n: int) -> bytes:
+    out = bytearray()
+    while n > 0x7F:
+        out.append(n & 0x7F | 0x80)
+        n >>= 7
+    return bytes([*out, n])
+
+
+def message(labels: dict[str, str], samples: list[tuple[int, float]]) -> bytes:
+    """A request with one series, compressed."""
+    pairs = b"".join(_packed(1, _packed(1, k.encode()) + _packed(2, v.encode())) for k, v in sorted(labels.items()))
+    points = b"".join(_packed(2, b"\x09" + struct.pack("<d", v) + b"\x10" + _number(ms % (1 << 64))) for ms, v in samples)
+    return pa.Codec("snappy").compress(_packed(1, pairs + points), asbytes=True)
+
+
+def encode(rows: DataFrame, most: int = 1000) -> DataFrame:
+    """body: a request for each run of at most ``most`` samples of one series. ``rows``: labels, ts_ms, value; rows stay in their tasks."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            series: dict[tuple, list] = {}
+            for labels, ms, v in zip(*(c.to_pylist() for c in batch.columns)):
+                series.setdefault(tuple(labels), []).append((ms, v))
+            bodies = [message(dict(k), x[i : i + most]) for k, x in series.items() for i in range(0, len(x), most)]
+            yield pa.RecordBatch.from_arrays([pa.array(bodies, pa.binary())], names=["body"])
+
+    return rows.select("labels", "ts_ms", "value").mapInArrow(of, "body binary")
+
+
 def decode(requests: DataFrame, body: str = "body") -> DataFrame:
     """labels, ts_ms, value, stale of the requests' samples."""
 

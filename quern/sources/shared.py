@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from functools import cache
 
@@ -14,5 +15,10 @@ def _own() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where none is set (tests on one machine) a temporary folder."""
-    return spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own()
+    """``spark.checkpoint.dir``; only where none is set and driver and executors are one process (tests) a temporary folder."""
+    sc = spark.sparkContext
+    if found := sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir"):
+        return found
+    if not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that driver and executors share")
+    return _own()

@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.logs import watermark
 from ..sources import otlp
 from ..sources.metrics import HOUR, labels_key, series_id
 
@@ -33,6 +34,29 @@ def consume(spark: SparkSession, path: str, files: int | None = None, clean: str
     return spark.readStream.schema(BUFFER).options(**options).parquet(path).withColumn("file", F.input_file_name())
 
 
+def descriptors(spark: SparkSession, path: str) -> DataFrame:
+    """sequence, file, ingestion_time_ms, entries, bytes of each batch (file) of the buffer, in the order a consumer takes them."""
+    files = spark.read.schema(BUFFER).parquet(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.max("ingestion_time_ms").alias("ingestion_time_ms"), F.count("*").alias("entries"), F.max("_metadata.file_size").alias("bytes"))
+    return files.withColumn("sequence", F.row_number().over(Window.orderBy("ingestion_time_ms", "file")) - 1)  # a row a file
+
+
+def acknowledged(acks: DataFrame, position: int = 0) -> DataFrame:
+    """next_sequence: where a consumer that stood at ``position`` goes on, given acknowledged batches (sequence): gaps hold it back."""
+    return watermark(acks, position)
+
+
+def collected(spark: SparkSession, path: str, done: DataFrame, now_ms: int, grace_ms: int) -> int:
+    """Delete the buffer's batches (``done``: file) that came in before the grace period; how many there were. A run that breaks off is
+    finished by the next.
+    """
+    gone = descriptors(spark, path).where(F.col("ingestion_time_ms") < now_ms - grace_ms).join(done.select("file"), "file", "left_semi").select("file").collect()  # names of files
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for r in gone:
+        file = hadoop(r["file"])
+        file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(file, False)
+    return len(gone)
+
+
 def exactly_once(stream: DataFrame, checkpoint: str, path: str, convert: Callable[[DataFrame], DataFrame], available_now: bool = True):
     """``convert`` each batch and write it under its own number: a batch that runs again after a failure replaces what it wrote."""
 

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import gc
 import os
-from collections.abc import Iterable, Iterator
-from functools import cache
+import sys
+from collections.abc import Callable, Iterable, Iterator
+from types import ModuleType
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
 
+T = TypeVar("T")
 U = np.uint64
 BLOCK = (4 << 20) - 64
 BASE, GRAM, RUN = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95, 0xC6BC279692B5CC83
@@ -71,8 +74,15 @@ def longs(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
 
-@cache
-def _libc():
+def kept(name: str, make: Callable[[], T]) -> T:
+    """What a worker makes once and keeps for its later tasks, whose functions and modules come anew with each."""
+    store = vars(sys.modules.setdefault("_quern_kept", ModuleType("_quern_kept")))
+    if name not in store:
+        store[name] = make()
+    return store[name]
+
+
+def _trim() -> Callable[[int], int]:
     import ctypes
 
     try:
@@ -84,17 +94,22 @@ def _libc():
 LARGE = 288 << 20  #: resident bytes, libraries included, beyond which a worker looks for what it can give back
 
 
-def tidy() -> None:
-    """In a worker that has grown: give back what earlier tasks have left, functions and their tables in cycles, and pages of free memory."""
+def tidy(own: str = "") -> None:
+    """In a worker that has grown: give back what earlier tasks have left: what was kept, but for names that begin with ``own``,
+    functions and their tables in cycles, and pages of free memory.
+    """
     try:
         with open("/proc/self/statm") as f:
             if int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") < LARGE:
                 return
     except (OSError, ValueError):  # not Linux: always
         pass
+    store = vars(sys.modules.get("_quern_kept", ModuleType("_quern_kept")))
+    for name in [x for x in store if not x.startswith("__") and not (own and x.startswith(own))]:
+        del store[name]
     gc.collect()
     pa.default_memory_pool().release_unused()
-    _libc()(0)
+    kept("trim", _trim)(0)
 
 
 def blocks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = BLOCK, first: bool = True) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:

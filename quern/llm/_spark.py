@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 import quern
+from quern.sources.shared import shared_folder
 
 cloudpickle.register_pickle_by_value(quern)  # executors need no copy of the package
 
@@ -16,10 +16,10 @@ NO_ID = 2**63 - 1  #: stands for a null doc_id: sorts after every other id
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where none is set (tests) a temporary one."""
+    """The session's ``spark.checkpoint.dir``; only where none is set and all is one process (tests) a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quern-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(spark))
     return sc.getCheckpointDir()
 
 

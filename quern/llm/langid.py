@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,6 @@ ORDERS, FEATURES = (1, 2, 3), 1 << 15
 BLANK = 0x20
 
 
-@cache
 def _letters() -> np.ndarray:
     """For each character its lower case, or the blank where it is no letter."""
     table = np.full(0x110000, BLANK, np.uint32)
@@ -42,7 +40,7 @@ def _letters() -> np.ndarray:
 
 def features(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each order: features of all grams, where each text's begin (with the end); and whether texts have letters."""
-    chars = _letters()[np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)]
+    chars = B.kept("letters", _letters)[np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)]
     first = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[at]
     some = np.concatenate(([0], np.cumsum(chars != BLANK)))
     some = some[first[1:]] > some[first[:-1]]

@@ -15,7 +15,6 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,6 @@ SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLAIN = frozenset([*range(0x20, 0x7F), 0x0A, *range(0xA1, 0x250), *range(0x2010, 0x2028), *range(0x370, 0x530)]) - {0xAD}
 
 
-@cache
 def _encoders(json: str, ranks: str | None):
     """Ids of a list of texts. The rank file holds the tokenizer's own vocabulary, and its library is several times faster."""
     import os
@@ -55,7 +53,8 @@ def _encoders(json: str, ranks: str | None):
 
 def _pieces(json: str, ranks: str | None, size: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoders(json, ranks)
+        B.tidy("encoders")
+        encode = B.kept(f"encoders {json} {ranks}", lambda: _encoders(json, ranks))
         for whole in batches:
             for batch, _, _ in B.blocks([whole], first=False):
                 rows = []

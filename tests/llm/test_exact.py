@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, lines, neardup, packing, shards, substring, suffix, vptree
-from quern.llm.queries import QUERIES
+from quern.llm.queries import ORACLE_SQL, QUERIES
 
 DOCS = "doc_id long, text string, lang string, k long, th string, spans int"
 
@@ -253,3 +253,48 @@ def test_empty_tables(spark, sf, tmp_path, name):
     for t in ("documents", "embeddings", "benchmark", "labels"):
         spark.read.parquet(f"{sf}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_queries_equal_their_sql(spark, sf, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "benchmark", "embeddings"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = c.execute(ORACLE_SQL[name])
+    names = [d[0] for d in want.description]
+    df = QUERIES[name](spark, sf)
+    assert set(names) <= set(df.columns)
+    assert rows_of(df, *names) == sorted(want.fetchall())
+
+
+def test_neighbours_among_vectors_of_several_lengths(spark):
+    rng = random.Random(5)
+    data = [(i, [rng.gauss(0, 1) for _ in range((3, 5)[i % 40 < 20])]) for i in range(400)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3)
+    found = sorted(tuple(r) for r in vptree.nearest(df, df.where("vec_id % 20 = 0"), leaf=8).collect())
+    assert found == sorted(x for n in (3, 5) for x in brute.op8([(i, v) for i, v in data if len(v) == n]))
+
+
+def test_balls_out_of_reach_are_not_searched():
+    """Far clusters: most blocks of queries go to the balls that can hold a neighbour, and to no others."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    centres = np.eye(8) * 100
+    top = 110.0
+    pivots = vptree._lifted(centres, top)
+    low, high = np.zeros(8), np.full(8, 5.0)
+
+    class Shared:
+        value = {8: (top, pivots, low, high, np.ones(8, np.int64))}
+
+    q = centres[rng.integers(0, 8, 50)] + rng.normal(size=(50, 8)) * 0.1
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50), pa.int64()), pa.array(q.tolist(), pa.list_(pa.float64())), pa.array([9_000.0] * 50)], names=["vec_id", "v", "floor"])
+    (first,), (rest,) = (list(vptree._route(Shared, 1.0, x)([batch])) for x in (True, False))
+    assert sum(len(x.as_py()) for x in first.column("ids")) == 50 * 8 and len(rest) == 0
+    none = batch.set_column(2, "floor", pa.array([float("-inf")] * 50))
+    (rest,) = vptree._route(Shared, 1.0, False)([none])
+    assert sum(len(x.as_py()) for x in rest.column("ids")) == 50 * 7 * 8

@@ -4,14 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-import quern
 from quern.sources.shared import shared_folder
 
-cloudpickle.register_pickle_by_value(quern)  # executors need no copy of the package
-
 NO_ID = 2**63 - 1  #: stands for a null doc_id: sorts after every other id
 
 
@@ -59,7 +55,9 @@ def keyed(docs: DataFrame, *extra: str | Column) -> DataFrame:
     """
     k = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     repeated = docs.groupBy(k.alias("k")).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), k.alias("k"), F.xxhash64("text").alias("th") if repeated else F.lit(0).cast("long").alias("th"), F.col("text").cast("string").alias("text"), *extra)
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), k.alias("k"), F.xxhash64("text").alias("th") if repeated else F.lit(0).cast("long").alias("th"), F.col("text").cast("string").alias("text"), *extra)
+    out._repeated = bool(repeated)
+    return out
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:

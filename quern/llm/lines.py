@@ -112,12 +112,17 @@ def _bins(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Place and id of each line that is not blank; ``lead``: the first of its kind in its row."""
     for batch, data, at in B.blocks(batches):
         row, number, start, end = _lines(data, at)
         ids = _ids(data, start, end)
         some = (ids != 0).any(1)
         row, number, ids = row[some], number[some], ids[some]
-        yield pa.RecordBatch.from_arrays([pa.array(B.longs(batch.column(c))[row]) for c in ("k", "th")] + [pa.array(x.astype(np.int64)) for x in (number, ids[:, 0], ids[:, 1])], names=["k", "th", "line", "id", "id2"])
+        order = np.lexsort((number, ids[:, 1], ids[:, 0], row))
+        lead = np.ones(len(order), bool)
+        a, b = order[1:], order[:-1]
+        lead[a] = (row[a] != row[b]) | (ids[a] != ids[b]).any(1)
+        yield pa.RecordBatch.from_arrays([pa.array(B.longs(batch.column(c))[row]) for c in ("k", "th")] + [pa.array(x.astype(np.int64)) for x in (number, ids[:, 0], ids[:, 1])] + [pa.array(lead)], names=["k", "th", "line", "id", "id2", "lead"])
 
 
 def _sizes(row: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -203,8 +208,12 @@ def repeated_lines(docs: DataFrame, hundredths: int = 80) -> DataFrame:
     """k, th, line of each line that is not the first of its component. ``docs``: as keyed() gives them."""
     small_batches(docs.sparkSession)
     texts = docs.select("k", "th", "text").where("text is not null")
-    places = settle(texts.mapInArrow(_occurrences, "k long, th long, line long, id long, id2 long"))
-    classes = places.groupBy("id", "id2").agg(F.min(F.struct("k", "th", "line")).alias("first"), F.count("*").alias("n"))
+    places = settle(texts.mapInArrow(_occurrences, "k long, th long, line long, id long, id2 long, lead boolean"))
+    if getattr(docs, "_repeated", True):
+        least = F.min(F.struct("k", "th", "line"))
+    else:  # of numbers alone, which needs no sort: a row is known by its k, and in it the line by its lead
+        least = F.struct(F.min("k").alias("k"), F.lit(0).cast("long").alias("th"), F.min_by("line", F.when(F.col("lead"), F.col("k"))).alias("line"))
+    classes = places.groupBy("id", "id2").agg(least.alias("first"), F.count("*").alias("n"))
     classes = settle(classes)
     found = settle(stars(texts.mapInArrow(_sign, "id long, bands binary")))
     need = found.select("id").union(found.select("pivot")).distinct()

@@ -71,13 +71,13 @@ def min_max(h: np.ndarray, at: np.ndarray, permutations: int) -> np.ndarray:
 def band_keys(values: np.ndarray, rows: int, seed: int = 0) -> np.ndarray:
     """A hash of each band of ``rows`` columns: sets x bands."""
     n, k = values.shape
-    out = np.empty((n, k // rows), U)
-    for b in range(k // rows):
-        key = np.full(n, B.RUN * (b + 1 + seed) % 2**64, U)
-        for v in values[:, b * rows : (b + 1) * rows].T:
-            key = B.mix(key ^ v) * U(B.GRAM)
-        out[:, b] = B.mix(key)
-    return out
+    bands = k // rows
+    each = values[:, : bands * rows].reshape(n, bands, rows)
+    key = np.broadcast_to((np.arange(1, bands + 1) + seed).astype(U) * U(B.RUN), (n, bands))
+    for i in range(rows):
+        key = B.mix(key ^ each[:, :, i])
+        key *= U(B.GRAM)
+    return B.mix(key)
 
 
 def _sign(sets: Sets):

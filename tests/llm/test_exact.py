@@ -298,3 +298,32 @@ def test_balls_out_of_reach_are_not_searched():
     none = batch.set_column(2, "floor", pa.array([float("-inf")] * 50))
     (rest,) = vptree._route(Shared, 1.0, False)([none])
     assert sum(len(x.as_py()) for x in rest.column("ids")) == 50 * 7 * 8
+
+
+@pytest.fixture(scope="module")
+def clashing(spark, sf, tmp_path_factory):
+    """A very long text among short ones, in a table whose other columns have names that the operators use themselves."""
+    rng = random.Random(11)
+    long = " ".join(rng.choice(["red", "blue", "ßharp", "seven"]) + str(rng.randrange(5000)) for _ in range(30_000)) + "\n" + "y" * 150_000
+    data = [(1, long), (2, long[:50_000]), (3, "short"), (4, None), (5, long[60_000:61_000] + "\nshort")]
+    names = ("k", "th", "gone", "size", "spans", "bands", "id", "id2", "n_words", "n_hit", "items", "kept", "kept_sha256", "component_id", "shard", "score", "lang_pred", "piece", "row", "key", "first", "stay", "_own0", "source")
+    folder = tmp_path_factory.mktemp("clashing")
+    df = spark.createDataFrame(data, "doc_id long, text string").withColumns({c: F.lit("mine") for c in names}).withColumn("lang", F.lit("en"))
+    df.write.parquet(f"{folder}/documents.parquet")
+    for t in ("benchmark", "labels"):
+        spark.read.parquet(f"{sf}/{t}.parquet").write.parquet(f"{folder}/{t}.parquet")
+    return data, str(folder)
+
+
+@pytest.mark.parametrize("name", [n for n in sorted(QUERIES) if n[:4] != "op8_"])
+def test_long_texts_and_clashing_names(spark, clashing, name):
+    data, folder = clashing
+    found = QUERIES[name](spark, folder)
+    if name[:4] in ("op1_", "op4_", "op9_"):
+        columns = {"op1_": ("doc_id", "n_words", "n_removed", "kept_sha256"), "op4_": ("doc_id", "n_shingles", "component_id", "kept"), "op9_": ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")}[name[:4]]
+        assert rows_of(found, *columns) == sorted({"op1_": brute.op1, "op4_": brute.op4, "op9_": brute.op9}[name[:4]](data))
+    elif name[:4] == "op10":
+        by = {r["doc_id"]: r for r in found.collect()}
+        assert by[1]["n_removed"] == 0 and by[5]["n_removed"] == 1 and by[1]["n_lines"] == 2 and len(by) == 5
+    else:
+        assert {r["doc_id"] for r in found.select("doc_id").collect()} == {1, 2, 3, 4, 5}

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import langid, toxicity
+from quern.llm import langid, learn, toxicity
 from quern.llm.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.01"
@@ -162,3 +162,72 @@ def test_pipeline_of_awkward_rows(spark, sf, tmp_path, pipeline):
         out.write.parquet(str(tmp_path / name))
         df = spark.read.parquet(str(tmp_path / name))
     assert df.select("kept").distinct().collect() == [("own",)] and pipeline.STAGES[-1][1](spark, df, sf).count() > 0
+
+
+def test_regularised_leader_against_plain_python():
+    """The published update, a coordinate at a time, over the same order of documents."""
+    rng = np.random.default_rng(3)
+    docs = [(np.sort(rng.choice(40, 6, replace=False)), rng.random(6)) for _ in range(30)]
+    y, classes, alpha, beta, l1, l2 = rng.integers(0, 3, 30), 3, 0.5, 1.0, 0.05, 0.05
+    found = langid.ftrl(docs, y, classes, alpha, beta, l1, l2, epochs=2, seed=5)
+    z, n = {}, {}
+
+    def weight(i, c):
+        at = z.get((i, c), 0.0)
+        return 0.0 if abs(at) <= l1 else -(at - (l1 if at > 0 else -l1)) / ((beta + n.get((i, c), 0.0) ** 0.5) / alpha + l2)
+
+    order = np.random.default_rng(5)
+    for _ in range(2):
+        for d in order.permutation(len(docs)):
+            pairs = list(zip(docs[d][0].tolist(), docs[d][1].tolist()))
+            w = {(i, c): weight(i, c) for i, _ in pairs for c in range(classes)}
+            s = [sum(x * w[i, c] for i, x in pairs) for c in range(classes)]
+            e = [np.exp(v - max(s)) for v in s]
+            for i, x in pairs:
+                for c in range(classes):
+                    g = (e[c] / sum(e) - (c == y[d])) * x
+                    before = n.get((i, c), 0.0)
+                    n[i, c] = before + g * g
+                    z[i, c] = z.get((i, c), 0.0) + g - (n[i, c] ** 0.5 - before**0.5) / alpha * w[i, c]
+    want = np.array([[weight(i, c) for c in range(classes)] for i in range(len(found))])
+    assert np.allclose(found, want, atol=1e-9) and (want != 0).any() and (want == 0).any()
+
+
+def test_more_languages_than_a_model_has_room_for(spark):
+    rows = spark.createDataFrame([(i, f"text {i}", f"l{i}") for i in range(40)], "doc_id long, text string, lang string")
+    assert learn.sample(rows, "lang", 5, ("doc_id", "text"), labels=40).count() == 40
+    with pytest.raises(ValueError, match="40 values of lang"):
+        learn.sample(rows, "lang", 5, ("doc_id", "text"), labels=39)
+    many = spark.createDataFrame([(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} " * 4, f"l{i % 1100}") for i in range(2000)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="values of lang"):
+        langid.fit(many)
+
+
+def test_copies_of_a_text_are_sampled_one_by_one(spark):
+    rows = spark.createDataFrame([(i, "the same text", "xx") for i in range(1000)], "doc_id long, text string, lang string")
+    assert 50 < learn.sample(rows, "lang", 100, ("doc_id", "text")).count() < 160
+
+
+def test_scores_are_what_the_dictionaries_say(spark):
+    """Each text anew: its windows by regular expressions, their lengths by two compressors, shares, the logistic function."""
+    import pickle
+
+    import regex
+    import zstandard
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    (dictionaries, weights), _ = pickle.loads(model)
+    both = toxicity.compressors(dictionaries)
+    assert all(isinstance(c, zstandard.ZstdCompressor) for c in both)
+    texts = [(r["doc_id"], r["text"]) for r in docs.orderBy("doc_id").limit(120).collect()] + [(10**6, "ab" * 90 + " x"), (10**6 + 1, "ü" * 200)]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    for i, t in texts:
+        raw = regex.sub(rb"[A-Z]+", lambda m: m[0].lower(), (t or "").encode())
+        windows = []
+        for run in regex.findall(rb"[a-z\x80-\xff]+", raw):
+            starts = [0] if len(run) <= toxicity.WORD else sorted({*range(0, len(run) - toxicity.WORD, toxicity.STEP), len(run) - toxicity.WORD})
+            windows += [run[s : s + toxicity.WORD] for s in starts]
+        less = [min(max(len(both[1].compress(toxicity._window(w))) - len(both[0].compress(toxicity._window(w))), toxicity.LOW), toxicity.HIGH) for w in windows]
+        x = [np.log1p(200 * sum(v >= toxicity.HIGH - j for v in less) / max(len(less), 1)) for j in range(9)]
+        assert abs(got[i] - 1 / (1 + np.exp(-np.clip(np.dot(x, weights[:-1]) + weights[-1], -30, 30)))) < 1e-9, i

@@ -91,7 +91,7 @@ def _trim() -> Callable[[int], int]:
         return lambda _: 0
 
 
-LARGE = 288 << 20  #: resident bytes, libraries included, beyond which a worker looks for what it can give back
+LARGE = 192 << 20  #: resident bytes, libraries included, beyond which a worker looks for what it can give back
 
 
 def tidy(own: str = "") -> None:

@@ -196,7 +196,7 @@ def _close(sets: Sets, hundredths: int):
         B.tidy()
         now, held = None, []  # the block that is not known to have ended: labels, sides, hashes and sizes of its sets
         for batch in batches:
-            for part, data, at in B.blocks([batch], limit=1 << 20, first=False):
+            for part, data, at in B.blocks([batch], limit=1 << 19, first=False):
                 h, cut = sets(data, at)
                 key, chunk, side, c = (B.longs(part.column(x)) for x in ("key", "chunk", "side", "c"))
                 begin = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1]))))

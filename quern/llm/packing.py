@@ -36,8 +36,8 @@ def _encoders(json: str, ranks: str | None):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(json)
     if ranks is None:
+        slow = Tokenizer.from_file(json)
         return lambda texts: [x.ids for x in slow.encode_batch(texts, add_special_tokens=False)]
     import base64
 
@@ -48,7 +48,8 @@ def _encoders(json: str, ranks: str | None):
     with open(ranks, "rb") as lines:
         fast = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}, special_tokens={})
     odd = regex.compile("<\\||[^" + "".join(f"\\u{c:04x}" for c in sorted(_PLAIN)) + "]")
-    return lambda texts: [slow.encode(t, add_special_tokens=False).ids if odd.search(t) else fast.encode_ordinary(t) for t in texts]
+    slow = lambda: B.kept(f"encoders of {json}", lambda: Tokenizer.from_file(json))  # noqa: E731  for the few texts that need it
+    return lambda texts: [slow().encode(t, add_special_tokens=False).ids if odd.search(t) else fast.encode_ordinary(t) for t in texts]
 
 
 def _pieces(json: str, ranks: str | None, size: int):

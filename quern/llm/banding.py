@@ -3,9 +3,9 @@
 Items that share a band key, directly or through others, form a cluster; most clusters are small. A cluster of at most ``LIMIT`` bytes
 is one block: one task holds its sets, counts what all pairs share over an inverted index, and returns its components as at most one link
 an item. A larger cluster is dealt out over several blocks, each with the items that meet most others, so that copies find what they
-were made from at the cost of their number. Where that leaves it in several components, the groups of single band keys that are still
-in several are closed in the same way; and of a group that is too large even for one block all pairs of blocks are compared but those
-within one component. So no link between two items of one group is lost, no pair becomes a row, and no task holds an unbounded group.
+were made from at the cost of their number. Where that leaves it in several components, all pairs of its blocks are compared but those
+within one component, if that sends no more rows than its items have band keys (as when one component holds nearly all). Else the groups
+of single band keys that are still in several components are closed in the same way, by blocks and at last by pairs of blocks. So no link between two items of one group is lost, no pair becomes a row, and no task holds an unbounded group.
 """
 
 from __future__ import annotations
@@ -255,6 +255,14 @@ def _heads(groups: DataFrame, degrees: DataFrame) -> DataFrame:
     return ranked.where(F.col("r") <= _HEADS).select("key", "parts", "c", "id")
 
 
+def _crossing(groups: DataFrame, weights: DataFrame, limit: int) -> DataFrame:
+    """key, cost: so many rows would _crossed() send for a group."""
+    per = groups.join(weights, "id").groupBy("key", "c").agg(F.sum("w").alias("w"), F.count("*").alias("n"))
+    per = per.withColumn("p", F.when(F.col("w") * 2 > limit, F.ceil(F.col("w") * 2 / limit)).otherwise(0))
+    all_ = per.groupBy("key").agg((F.sum("p") + F.ceil(F.sum(F.when(F.col("p") == 0, F.col("w")).otherwise(0)) * 4 / limit)).alias("all"))
+    return per.join(all_, "key").groupBy("key").agg(F.sum(F.col("n") * (F.col("all") - F.col("p"))).alias("cost"))
+
+
 def _crossed(groups: DataFrame, weights: DataFrame, limit: int) -> DataFrame:
     """Blocks of all pairs of chunks of a group. A chunk holds a part of one large component, or some small components: those
     chunks are also compared with themselves, while chunks of one component are not compared with each other."""
@@ -278,8 +286,9 @@ def linked(items: DataFrame, found: DataFrame, sets: Sets, hundredths: int, limi
     """id, component of all items with a link inside a band group.
 
     ``found``: settled stars (key, id, pivot); ``items``: settled (id, text, size in bytes), an id once for each of its texts.
-    Clusters that have room in one block are closed at once. Of the others, groups of band keys follow: each is dealt out anew for
-    ``rounds`` rounds while it is in several components and has several blocks; at last pairs of its blocks are compared.
+    Clusters that have room in one block are closed at once; the others by pairs of blocks where that is cheap. Else groups of band keys
+    follow: each is dealt out anew for ``rounds`` rounds while it is in several components and has several blocks; at last pairs of its
+    blocks are compared.
     """
     limit, comps, links = limit or LIMIT, None, None
 
@@ -312,7 +321,13 @@ def linked(items: DataFrame, found: DataFrame, sets: Sets, hundredths: int, limi
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
     degrees = settle(keys.join(shared, "key").groupBy("id").agg(F.sum("n").alias("degree")))
     close(_dealt(members, _heads(large, degrees), 0))
-    if still_open(large).limit(1).count():
+    open_ = still_open(large)
+    whole = settle(_crossing(open_, weights, limit).join(keys.join(large.select("id", "key").withColumnRenamed("key", "cluster"), "id").groupBy("cluster").agg(F.count("*").alias("held")), F.col("key") == F.col("cluster")).where("cost <= held").select("key"))
+    if whole.limit(1).count():
+        close(_crossed(open_.join(whole, "key", "left_semi").select("key", "c", "id"), weights, limit))
+        open_ = open_.join(whole, "key", "left_anti")
+    if open_.limit(1).count():
+        keys = keys.join(open_.select("id"), "id", "left_semi")
         one = shared.groupBy("n", "x", "y").agg(F.min("key").alias("key"))  # keys of the same items: one is enough
         groups = still_open(keys.join(one, "key", "left_semi"))
         heavy = groups.join(weights, "id").groupBy("key").agg(_parts(F.sum("w"), limit).alias("parts"))

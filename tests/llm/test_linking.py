@@ -21,9 +21,9 @@ def test_copies_of_a_text_in_their_midst(spark):
     assert sum(kept for *_, kept in found) < 5
 
 
-@pytest.mark.parametrize("limit", [6_000, 20_000])
+@pytest.mark.parametrize("limit", [6_000, 20_000, 60_000])
 def test_links_where_no_block_has_room_for_a_group(spark, monkeypatch, limit):
-    """Texts that meet in many bands and are mostly unlike; near copies of some of them. Blocks hold about 7 and 25 of 200 texts."""
+    """Texts that meet in many bands and are mostly unlike; near copies of some of them. Blocks hold about 7, 25 and 75 of 200 texts; with 75 all pairs of blocks are cheap."""
     monkeypatch.setattr(banding, "LIMIT", limit)
     rng = random.Random(6)
     base, texts = [f"w{i}" for i in range(40)], []

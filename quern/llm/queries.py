@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.dedup_substrings(_table(spark, sf_dir, "documents"), keep_text=False)
+    return substring.dedup_substrings(_table(spark, sf_dir, "documents"), keep_text=False).drop("n_spans")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -269,6 +269,16 @@ def test_queries_equal_their_sql(spark, sf, name):
     assert rows_of(df, *names) == sorted(want.fetchall())
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_queries_have_the_columns_of_their_sql(spark, sf, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "benchmark", "embeddings"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    assert QUERIES[name](spark, sf).columns == [d[0] for d in c.execute(f"SELECT * FROM ({ORACLE_SQL[name]}) LIMIT 0").description]
+
+
 def test_neighbours_among_vectors_of_several_lengths(spark):
     rng = random.Random(5)
     data = [(i, [rng.gauss(0, 1) for _ in range((3, 5)[i % 40 < 20])]) for i in range(400)]

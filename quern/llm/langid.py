@@ -129,7 +129,7 @@ def _train(weight: np.ndarray):
         order = np.random.default_rng(0).permutation(len(y))
         rest, fit = order[: len(y) // 5], order[len(y) // 5 :]
         w = ftrl([docs[d] for d in fit], y[fit], len(known))
-        s = np.array([docs[d][1] @ w[docs[d][0]] for d in rest]).reshape(len(rest), -1)
+        s = np.array([docs[d][1] @ w[docs[d][0]] for d in rest]).reshape(len(rest), len(known))
 
         def loss(t: float) -> float:
             u = s / t

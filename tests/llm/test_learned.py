@@ -36,6 +36,16 @@ def test_languages_of_awkward_texts(spark):
     assert [r["lang_pred"] for r in none.collect()] == ["und"]
 
 
+def test_languages_learned_from_a_few_documents(spark):
+    """Fewer than five training rows leave none to calibrate on."""
+    data = [(i, t, x) for i, (t, x) in enumerate([("le chat et la souris", "fr"), ("the cat and the mouse", "en"), ("...", "en"), (None, "fr")] * 2)]
+    for few in (data[:2], data[:4], data):
+        df = spark.createDataFrame(few, "doc_id long, text string, lang string")
+        got = {r["doc_id"]: r for r in langid.identify(df).collect()}
+        assert sorted(got) == [i for i, _, _ in few]
+        assert all(0 <= r["score"] <= 1 and (r["lang_pred"] == "und") == (i % 4 > 1) for i, r in got.items())
+
+
 def test_weights_are_sparse(spark):
     import pickle
 

@@ -4,7 +4,8 @@ Tokens are byte-level BPE ids, id 2 after each document. Longer documents are cu
 ``size``. Full pieces are sequences of their own. Of the others only the histogram of lengths, at most ``size`` numbers, goes to
 the driver: lengths above a third pair at most twice a bin, the longest first, each with the longest partner that fits; shorter
 ones, the longest first, go where the least room is left over. What comes back is a table of bin kinds, broadcast (its rows are
-bounded by the histogram's steps, not by the data); pieces find their place there by their rank among pieces of their length.
+bounded by the histogram's steps, not by the data); pieces find their place there by their rank among pieces of their length: the
+task that makes them counts those of each length, and a small table of its counts gives each task's base.
 
 Defined results: null or empty text: the one token 2. Rows repeated: packed each. Null doc_id: null. Empty table: no rows.
 Other columns: ignored.
@@ -18,13 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import _bytes as B
-from ._spark import ranked, small_batches
+from ._spark import settle, small_batches
 
 END = 2
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32"]
 #: Beyond these, ranks and tokenizer may cut white space differently: such texts take the slow way.
 _PLAIN = frozenset([*range(0x20, 0x7F), 0x0A, *range(0xA1, 0x250), *range(0x2010, 0x2028), *range(0x370, 0x530)]) - {0xAD}
 
@@ -56,6 +58,7 @@ def _pieces(json: str, ranks: str | None, size: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         B.tidy("encoders")
         encode = B.kept(f"encoders {json} {ranks}", lambda: _encoders(json, ranks))
+        seen = [0] * (size + 1)  # pieces of each length so far, in this task
         for whole in batches:
             for batch, _, _ in B.blocks([whole], first=False):
                 rows = []
@@ -65,10 +68,12 @@ def _pieces(json: str, ranks: str | None, size: int):
                 for doc, text in zip(batch.column("doc_id").to_pylist(), texts):
                     ids = ids_of[text]
                     cut = [0, *range(len(ids) % size or size, len(ids) + 1, size)]
-                    rows += [(doc, i, a, b - a, zlib.crc32(ids[a:b].tobytes())) for i, (a, b) in enumerate(zip(cut, cut[1:]))]
-                cols = list(zip(*rows)) or [()] * 5
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    for i, (a, b) in enumerate(zip(cut, cut[1:])):
+                        rows.append((doc, i, a, b - a, zlib.crc32(ids[a:b].tobytes()), seen[b - a]))
+                        seen[b - a] += 1
+                cols = list(zip(*rows)) or [()] * 6
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[*_COLUMNS, "local"])
 
     return of
 
@@ -142,15 +147,25 @@ def _place(places):
     return of
 
 
+def _counted(docs: DataFrame, json: str, ranks: str | None, size: int) -> DataFrame:
+    """The columns of pieces(), and ``local``: how many pieces of its length stand before it in its task."""
+    small_batches(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(_pieces(json, ranks, size), SCHEMA + ", local long")
+
+
 def pieces(docs: DataFrame, json: str, ranks: str | None = None, size: int = 1024) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece of each row of ``docs``."""
-    small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pieces(json, ranks, size), SCHEMA)
+    return _counted(docs, json, ranks, size).select(*_COLUMNS)
 
 
 def pack(docs: DataFrame, json: str, ranks: str | None = None, size: int = 1024) -> DataFrame:
     """The pieces of ``docs`` with sequence_id and offset. ``json``: a tokenizer's file; ``ranks``: its vocabulary as ranks, for speed."""
-    rows = ranked(pieces(docs, json, ranks, size), ["length"], [F.col("doc_id"), F.col("piece")], "rank")
-    counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    rows = settle(_counted(docs, json, ranks, size).withColumn("part", F.spark_partition_id()))
+    parts = settle(rows.groupBy("part", "length").agg(F.count("*").alias("n")))
+    counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    w = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.select("part", "length", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("base"))
+    rows = rows.join(base, ["part", "length"]).select(*_COLUMNS, (F.col("local") + F.col("base")).alias("rank"))
     places = _places(bins(counts, size))
-    return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_place(docs.sparkSession.sparkContext.broadcast(places)), SCHEMA + ", sequence_id long, offset long")
+    return rows.mapInArrow(_place(docs.sparkSession.sparkContext.broadcast(places)), SCHEMA + ", sequence_id long, offset long")

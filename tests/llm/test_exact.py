@@ -255,6 +255,22 @@ def test_empty_tables(spark, sf, tmp_path, name):
     assert QUERIES[name](spark, str(tmp_path)).count() == 0
 
 
+def test_pieces_are_ranked_by_the_tasks_that_make_them(spark):
+    """Copies of a text in several tasks each get places of their own, and no sort of all pieces ranks them."""
+    import public_tokenizers
+
+    df = spark.createDataFrame([(i, "some words " * (i % 3 * 300)) for i in range(300)], "doc_id long, text string").repartition(7)
+    out = packing.pack(df, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    assert "row_number" not in out._jdf.queryExecution().toString()
+    sequences: dict = {}
+    for r in out.collect():
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"], r["doc_id"], r["piece"]))
+    for rows in sequences.values():
+        rows.sort()
+        assert [o for o, *_ in rows] == [sum(n for _, n, *_ in rows[:i]) for i in range(len(rows))] and sum(n for _, n, *_ in rows) <= 1024
+    assert len({x[2:] for rows in sequences.values() for x in rows}) == sum(map(len, sequences.values())) == out.count()
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_queries_equal_their_sql(spark, sf, name):
     import duckdb

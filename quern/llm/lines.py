@@ -48,12 +48,9 @@ def _lines(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 def _ids(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """128 bits of each line, as two longs; blank lines have none (0, 0)."""
-    raw, space = data.tobytes(), b" \t\n\r\x0b\x0c"
-    out = bytearray()
-    for s, e in zip(start.tolist(), end.tolist()):
-        x = raw[s:e]
-        out += hashlib.blake2b(x, digest_size=16).digest() if x.strip(space) else bytes(16)
-    return np.frombuffer(bytes(out), np.int64).reshape(-1, 2)
+    raw, none, of = data.tobytes(), bytes(16), hashlib.blake2b
+    ids = [of(x, digest_size=16).digest() if x and not x.isspace() else none for x in map(raw.__getitem__, map(slice, start.tolist(), end.tolist()))]
+    return np.frombuffer(b"".join(ids), np.int64).reshape(-1, 2)
 
 
 def char_sets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,10 +64,10 @@ _BYTES = (np.uint64(1) << (np.uint64(8) * np.arange(5, dtype=U))) - U(1)  #: mas
 
 def _shingles(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and hash of each character shingle, by row."""
-    lead = np.flatnonzero((data & 0xC0) != 0x80)  # the first byte of each character
-    if len(lead) == len(data):
+    if not len(data) or data.max() < 0x80:
         chars, first = (data.astype(U) + U(1)) * U(B.BASE), at
     else:
+        lead = np.flatnonzero((data & 0xC0) != 0x80)  # the first byte of each character
         chars, first = data[lead].astype(U), np.searchsorted(lead, at)
         wide = np.flatnonzero(chars >= U(0xC0))
         size = np.minimum(np.append(lead, len(data))[wide + 1] - lead[wide], 4)
@@ -78,10 +75,12 @@ def _shingles(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         chars += U(1)
         chars *= U(B.BASE)
     n = np.diff(first)
-    row = np.repeat(np.arange(len(n)), n)
     h = B.grams(chars, SHINGLE)
-    ok = row[SHINGLE - 1 :] == row[: len(h)]
-    h, row_h = h[ok], row[: len(h)][ok]
+    ok = np.ones(len(h), bool)
+    for k in range(1, SHINGLE):  # those that begin less than SHINGLE characters before a text's end go beyond it
+        beyond = first[1:] - k
+        ok[beyond[(beyond >= 0) & (beyond < len(h))]] = False
+    h, row_h = h[ok], np.repeat(np.arange(len(n)), np.maximum(n - SHINGLE + 1, 0))
     parts, rows = [h], [row_h]
     for k in range(1, SHINGLE):
         few = np.flatnonzero(n == k)
@@ -134,9 +133,15 @@ def _sizes(row: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
     size, many = n.copy(), np.flatnonzero(n >= LONG)
     if not len(many):
         return size
-    cells = np.zeros(len(n) * CELLS, bool)
-    cells[row * CELLS + (h >> U(64 - CELL_BITS)).astype(np.int64)] = True
-    size[many] = np.count_nonzero(cells.reshape(-1, CELLS), 1)[many]
+    low = many[0]
+    begin = np.searchsorted(row, low)
+    cell = row[begin:] - low
+    cell <<= CELL_BITS
+    cell += (h[begin:] >> U(64 - CELL_BITS)).view(np.int64)
+    cells = np.zeros((len(n) - low) * CELLS, np.uint8)
+    cells[cell] = 1
+    eight = np.add.reduce(cells.view(U).reshape(-1, CELLS // 8), 1)  # sums of each eighth byte, CELLS / 8 at most
+    size[many] = eight.view(np.uint8).reshape(-1, 8).sum(1, dtype=np.int64)[many - low]
     many = many[size[many] <= SHORT]
     if len(many):
         place = np.full(len(n), -1)
@@ -160,23 +165,26 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.bincount(row, minlength=len(one))
         first = np.concatenate(([0], np.cumsum(n)))
         size = _sizes(row, h, n)
-        bands = [b""] * len(one)
-        for kind, take in enumerate((size <= SHORT, size >= LONG)):
+        kinds = np.stack((size <= SHORT, size >= LONG), 1)
+        place = np.cumsum(kinds).reshape(-1, 2) - 1  # of each line's keys of each kind
+        bands = np.empty((np.count_nonzero(kinds), VALUES // ROWS), U)
+        for kind, take in enumerate(kinds.T):
             which = np.flatnonzero(take)
             if not len(which):
                 continue
             low, high = which[0], which[-1] + 1
-            if len(which) == high - low:
-                mine, rows = h[first[low] : first[high]], row[first[low] : first[high]] - low
+            if 4 * len(which) >= 3 * (high - low):  # a few others between them are no matter
+                mine, rows, count = h[first[low] : first[high]], row[first[low] : first[high]] - low, n[low:high]
             else:
                 inside = take[row]
-                mine, rows = h[inside], (np.cumsum(take) - 1)[row[inside]]
-            values = _bins(mine, rows, len(which)) if kind else min_max(mine, np.concatenate(([0], np.cumsum(n[which]))), VALUES // 2)
-            keys = band_keys(values, ROWS, 1000 * kind).tobytes()
-            width = len(keys) // len(which)
-            for i, k in enumerate(which.tolist()):
-                bands[k] += keys[i * width : (i + 1) * width]
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(bands, pa.binary())], names=["id", "bands"])
+                mine, rows, count = h[inside], (np.cumsum(take) - 1)[row[inside]], n[which]
+            values = _bins(mine, rows, len(count)) if kind else min_max(mine, np.concatenate(([0], np.cumsum(count))), VALUES // 2)
+            if len(count) > len(which):
+                values = values[which - low]
+            bands[place[which, kind]] = band_keys(values, ROWS, 1000 * kind)
+        cut = np.concatenate(([0], (place[:, 1] + 1) * (8 * bands.shape[1]))).astype(np.int32)
+        keys = pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(cut.tobytes()), pa.py_buffer(bands.tobytes())])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), keys], names=["id", "bands"])
 
 
 def _of_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -81,6 +81,22 @@ def test_lines_whose_shingles_repeat(spark):
     assert sum(r[2] for r in found) == 11
 
 
+def test_bands_of_lines_that_are_signed_together():
+    """A line's bands are those it has alone, of whatever lengths and kinds the lines around it are."""
+    import pyarrow as pa
+
+    def signed(texts):
+        columns = [pa.array(range(len(texts)), pa.int64()), pa.array([0] * len(texts), pa.int64()), pa.array(texts, pa.string())]
+        return {k: b for x in lines._sign(iter([pa.RecordBatch.from_arrays(columns, names=["k", "th", "text"])])) for k, b in zip(*x.to_pydict().values())}
+
+    rng = random.Random(9)
+    lengths = [*range(1, 9), *range(120, 180, 3), *[132] * 20, 300, 900]
+    some = ["".join(rng.choice(s) for _ in range(n)) for n in lengths for s in ("ab", "abcdefghij klmnop", "éü漢字😀 abc")]
+    alone = {k: b for x in some for k, b in signed([x]).items()}
+    assert signed(["\n".join(some)]) == signed([None, "", *some, " \t\n"]) == alone
+    assert {len(b) for b in alone.values()} == {128, 256}
+
+
 def test_lines_keep_other_columns(odd):
     out = lines.dedup_lines(odd[1])
     assert set(DOCS.replace(",", "").split()[::2]) - {"k", "th", "gone"} <= set(out.columns) | {"k", "th"}

@@ -195,6 +195,24 @@ def run_starts(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
 
 
+def order(key: np.ndarray) -> np.ndarray:
+    """What sorts the numbers ``key``, equal ones in any order. Their upper bits are sorted together with their places, which is
+    faster than np.argsort; where upper bits alone don't tell two numbers apart, that is taken."""
+    bits = U(max(1, int(len(key) - 1).bit_length()))
+    packed = key >> bits
+    packed <<= bits
+    packed |= np.arange(len(key), dtype=U)
+    packed.sort()
+    out = (packed & ((U(1) << bits) - U(1))).view(np.int64)
+    packed >>= bits
+    same = packed[1:] == packed[:-1]
+    if same.any():
+        at = np.flatnonzero(same)
+        if (key[out[at]] != key[out[at + 1]]).any():
+            return np.argsort(key)
+    return out
+
+
 def eights(data: np.ndarray) -> np.ndarray:
     """The little-endian 8 bytes at each position, beyond the end 0."""
     padded = np.concatenate((data, np.zeros(8, np.uint8)))

@@ -29,14 +29,22 @@ _HEADS = 16  #: items that stand in every block of a group that has several
 Sets = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def _stars(key: np.ndarray, id: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted by key and id: keys, ids, and the least id of each key; one place of each (key, id)."""
-    order = np.lexsort((id, key))
-    key, id = key[order], id[order]
+def _stars(key: np.ndarray, id: np.ndarray, alone: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted by key and id: keys, ids, and the least id of each key; one place of each (key, id). Not ``alone``: of keys in several places."""
+    order = B.order(key)
+    key = key[order]
+    again = np.zeros(len(key) + 1, bool)
+    again[1:-1] = key[1:] == key[:-1]
+    tied = np.flatnonzero(again[1:] | again[:-1])  # only these are to be sorted by id
+    part, of = order[tied], key[tied]
+    order[tied] = part[np.lexsort((id[part], of))]
+    if not alone:
+        key, order = of, order[tied]
+    id = id[order]
     one = np.concatenate(([True], (key[1:] != key[:-1]) | (id[1:] != id[:-1]))) if len(key) else np.zeros(0, bool)
     key, id = key[one], id[one]
     cut = B.run_starts(key)
-    return key, id, np.repeat(id[cut], np.diff([*cut, len(id)]))
+    return key, id, np.repeat(id[cut], np.diff(cut, append=len(id)))
 
 
 def _send(buckets: int):
@@ -45,7 +53,7 @@ def _send(buckets: int):
         near = id != pivot
         rows, at = [B_pairs(key[near], id[near], pivot[near])] if near.any() else [], [-1] * bool(near.any())
         key, id = key[~near], id[~near]
-        bucket = (key % U(buckets)).astype(np.int64)
+        bucket = (key % U(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)  # small numbers are sorted by their digits
         order = np.argsort(bucket, kind="stable")
         key, id, bucket = key[order], id[order], bucket[order]
         cut = [*B.run_starts(bucket), len(bucket)]
@@ -88,12 +96,12 @@ def _meet(buckets: int):
         for v in values:
             n = len(v) // 13
             k = np.zeros((n, 8), np.uint8)
-            k[:, :5] = np.frombuffer(v, np.uint8, n * 5).reshape(n, 5)
+            k[:, 3:] = np.frombuffer(v, np.uint8, n * 5).reshape(n, 5)
             keys.append(k.view(U).ravel())
             ids.append(np.frombuffer(v, np.int64, n, n * 5))
-        key, id, pivot = _stars(np.concatenate(keys), np.concatenate(ids))
+        key, id, pivot = _stars(np.concatenate(keys), np.concatenate(ids), alone=False)
         near = id != pivot
-        key = U(b) | (key << U(24))
+        key |= U(b)
         return pa.table([key[near].view(np.int64), id[near], pivot[near]], schema=PAIRS)
 
     return of
@@ -107,16 +115,18 @@ def stars(items: DataFrame, buckets: int | None = None) -> DataFrame:
 
 def _columns(h: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Items by hash; where the items of each hash that several have begin, how many they are, and how many hashes have these same items."""
-    order = np.argsort(h)
+    order = B.order(h)
     h, item = h[order], item[order]
     start = B.run_starts(h)
     count = np.diff(start, append=len(h))
     some = count > 1
     if not some.any():
         return item, start[:0], count[:0], count[:0]
-    mark = np.add.reduceat(B.mix((item + 1).astype(U) * U(B.BASE)), start)[some]
-    _, first, weight = np.unique(mark, return_index=True, return_counts=True)
-    return item, start[some][first], count[some][first], weight
+    each = B.mix(np.arange(1, item.max() + 2, dtype=U) * U(B.BASE))
+    mark = np.add.reduceat(each[item], start)[some]
+    by = B.order(mark)
+    cut = B.run_starts(mark[by])
+    return item, start[some][by[cut]], count[some][by[cut]], np.diff(cut, append=len(by))
 
 
 def _count(both: np.ndarray, at: np.ndarray, place: np.ndarray, item: np.ndarray, start: np.ndarray, count: np.ndarray, weight: np.ndarray) -> None:
@@ -294,7 +304,7 @@ def linked(items: DataFrame, found: DataFrame, sets: Sets, hundredths: int, limi
 
     def close(blocks: DataFrame) -> None:
         nonlocal comps, links
-        rows = blocks.join(items.select("id", "text"), "id").repartition(partitions(items.sparkSession), "key", "chunk").sortWithinPartitions("key", "chunk")
+        rows = blocks.join(texts.select("id", "text"), "id").repartition(partitions(items.sparkSession), "key", "chunk").sortWithinPartitions("key", "chunk")
         more = rows.select("key", "chunk", "side", "c", "id", "text").mapInArrow(_close(sets, hundredths), "a long, b long")
         old, links = links, settle(more if comps is None else more.union(comps.toDF("a", "b")))
         comps = components(links)
@@ -308,19 +318,21 @@ def linked(items: DataFrame, found: DataFrame, sets: Sets, hundredths: int, limi
         keys = groups.groupBy("key").agg(F.min("c").alias("_x"), F.max("c").alias("_y")).where("_x < _y").select("key")
         return settle(groups.join(keys, "key", "left_semi"))
 
-    weights = items.groupBy("id").agg(F.sum(F.col("size") + _EACH).alias("w"))
+    weights, texts = items.groupBy("id").agg(F.sum(F.col("size") + _EACH).alias("w")), items
     clusters = settle(components(found.select(F.col("id").alias("a"), F.col("pivot").alias("b"))).join(weights, "id"))
     parts = clusters.groupBy("component").agg(_parts(F.sum("w"), limit).alias("parts"))
-    members = settle(clusters.join(parts, "component").select(F.col("component").alias("key"), "parts", F.col("id").alias("c"), "id"))
+    members = settle(clusters.join(parts, "component").select(F.col("component").alias("key"), "parts", F.col("id").alias("c"), "id", "w"))
     release(clusters)
-    large = members.where("parts > 1")
+    weights, large = members.where("parts > 1").select("id", "w"), members.where("parts > 1").drop("w")
     if not large.limit(1).count():
         close(_dealt(members, None, 0))
         return comps
-    keys = settle(found.select("key", "id").union(found.select("key", "pivot")).distinct().join(large.select("id"), "id", "left_semi"))
+    held = found.join(large.select("id"), "id", "left_semi")  # the pivot is of the same cluster
+    keys = settle(held.select("key", "id").union(held.select("key", "pivot")).distinct())
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
     degrees = settle(keys.join(shared, "key").groupBy("id").agg(F.sum("n").alias("degree")))
     close(_dealt(members, _heads(large, degrees), 0))
+    texts = settle(items.join(large.select("id"), "id", "left_semi"))  # no others are compared from here on
     open_ = still_open(large)
     whole = settle(_crossing(open_, weights, limit).join(keys.join(large.select("id", "key").withColumnRenamed("key", "cluster"), "id").groupBy("cluster").agg(F.count("*").alias("held")), F.col("key") == F.col("cluster")).where("cost <= held").select("key"))
     if whole.limit(1).count():

@@ -192,24 +192,28 @@ def _of_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = [], []
         for text, want in zip(batch.column("text"), batch.column("want")):
-            text, want = text.as_py().split("\n"), want.as_py()
+            text, want = text.as_buffer().to_pybytes().split(b"\n"), want.as_py()
             for w in want:
                 ids.append(w["id"])
                 texts.append(text[w["line"]])
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["id", "text"])
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for text, gone in zip(batch.column("text"), batch.column("gone")):
-            text, gone = text.as_py(), set(gone.as_py() or ())
-            lines = [] if text is None else text.split("\n")
-            kept = None if text is None else text if not gone else "\n".join(x for i, x in enumerate(lines) if i not in gone)
-            rows.append((len(lines), len(gone), kept, hashlib.sha256((kept or "").encode()).hexdigest()))
-        cols = list(zip(*rows)) or [()] * 4
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names[:-1]), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=[*batch.schema.names[:-1], "n_lines", "n_removed", "kept", "kept_sha256"])
+def _cut(keep_text: bool):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, gone in zip(batch.column("text"), batch.column("gone")):
+                text, gone = text.as_buffer().to_pybytes() if text.is_valid else None, set(gone.as_py() or ())
+                n_lines = 0 if text is None else text.count(b"\n") + 1
+                kept = text if not gone else b"\n".join(x for i, x in enumerate(text.split(b"\n")) if i not in gone)
+                rows.append((n_lines, len(gone), hashlib.sha256(kept or b"").hexdigest(), kept if keep_text else None))
+            n_lines, n_removed, sha, kept = zip(*rows) if rows else [()] * 4
+            own = batch.schema.names[:-1] if keep_text else batch.schema.names[:-2]  # without gone, and the text
+            cols = [*(batch.column(c) for c in own), *(pa.array(c, pa.int64()) for c in (n_lines, n_removed)), *([pa.array(kept, pa.string())] if keep_text else []), pa.array(sha, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*own, "n_lines", "n_removed", *(["kept"] if keep_text else []), "kept_sha256"])
+
+    return of
 
 
 def repeated_lines(docs: DataFrame, hundredths: int = 80) -> DataFrame:
@@ -225,23 +229,30 @@ def repeated_lines(docs: DataFrame, hundredths: int = 80) -> DataFrame:
     classes = settle(classes)
     found = settle(stars(texts.mapInArrow(_sign, "id long, bands binary")))
     need = found.select("id").union(found.select("pivot")).distinct()
-    want = classes.join(need, "id").select("id", "first.*").groupBy("k", "th").agg(F.collect_set(F.struct("id", "line")).alias("want"))
-    items = settle(texts.join(want, ["k", "th"]).select("text", "want").mapInArrow(_of_id, "id long, text string").withColumn("size", F.octet_length("text")))
-    comps = linked(items, found, char_sets, hundredths)
-    joined = classes.join(comps, "id", "left")
-    least = joined.where("component is not null").groupBy("component").agg(F.min("first").alias("least"))
-    # Only lines with an equal or a near one can go; the rest need no join.
-    stay = joined.where("component is not null or n > 1").join(least, "component", "left").select("id", "id2", F.coalesce("least", "first").alias("stay"))
-    return places.join(stay, ["id", "id2"]).where(F.struct("k", "th", "line") != F.col("stay")).select("k", "th", "line")
-
-
-def dedup_lines(docs: DataFrame, hundredths: int = 80) -> DataFrame:
-    """The columns of ``docs`` (doc_id, text and any others but k, th, gone), and n_lines, n_removed, kept (text), kept_sha256."""
+    needed = settle(classes.join(need.hint("shuffle_hash"), "id"))
+    want = needed.select("id", "first.*").groupBy("k", "th").agg(F.collect_set(F.struct("id", "line")).alias("want"))
+    items = settle(texts.join(want.hint("shuffle_hash"), ["k", "th"]).select("text", "want").mapInArrow(_of_id, "id long, text string").withColumn("size", F.octet_length("text")))
+    near = settle(needed.join(linked(items, found, char_sets, hundredths), "id"))
+    least = near.groupBy("component").agg(F.min("first").alias("least"))
+    # Only lines with an equal or a near one can go. One without an equal one is in its class's place; the others are looked up.
+    stay = near.join(least, "component").select("id", "id2", "first", "n", F.col("least").alias("stay"))
+    several = classes.where("n > 1")
+    equal = several.join(near.where("n > 1").select("id", "id2"), ["id", "id2"], "left_anti").select("id", "id2", F.col("first").alias("stay"))
+    equal = equal.union(stay.where("n > 1").select("id", "id2", "stay"))
+    gone = places.join(equal.hint("shuffle_hash"), ["id", "id2"]).where(F.struct("k", "th", "line") != F.col("stay")).select("k", "th", "line")
+    return gone.union(stay.where("n = 1 and first <> stay").select("first.*"))
+
+
+def dedup_lines(docs: DataFrame, hundredths: int = 80, keep_text: bool = True) -> DataFrame:
+    """The columns of ``docs`` (doc_id, text and any others but k, th, gone), and n_lines, n_removed, kept (text), kept_sha256.
+
+    Not ``keep_text``: without text and kept.
+    """
     own = [c for c in docs.columns if c not in ("doc_id", "text")]
     rows = keyed(docs, *[F.col(f"`{c}`").alias(f"_own{i}") for i, c in enumerate(own)])
     gone = repeated_lines(rows, hundredths).groupBy("k", "th").agg(F.collect_set("line").alias("gone"))
-    rows = rows.join(gone, ["k", "th"], "left").select("doc_id", *[f"_own{i}" for i in range(len(own))], "text", "gone")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    out = rows.mapInArrow(_cut, f"{schema}, n_lines long, n_removed long, kept string, kept_sha256 string")
-    taken = {"n_lines", "n_removed", "kept", "kept_sha256"}
-    return out.select("doc_id", "text", *[F.col(f"_own{i}").alias(c) for i, c in enumerate(own) if c not in taken], *sorted(taken))
+    rows = rows.join(gone.hint("shuffle_hash"), ["k", "th"], "left").select("doc_id", *[f"_own{i}" for i in range(len(own))], "text", "gone")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: -1 if keep_text else -2])
+    out = rows.mapInArrow(_cut(keep_text), f"{schema}, n_lines long, n_removed long, {'kept string, ' if keep_text else ''}kept_sha256 string")
+    taken = {"n_lines", "n_removed", "kept_sha256", *(["kept"] if keep_text else [])}
+    return out.select("doc_id", *(["text"] if keep_text else []), *[F.col(f"_own{i}").alias(c) for i, c in enumerate(own) if c not in taken], *sorted(taken))

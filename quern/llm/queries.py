@@ -53,7 +53,7 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "kept_sha256")
+    return lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False).select("doc_id", "n_lines", "n_removed", "kept_sha256")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -97,6 +97,14 @@ def test_bands_of_lines_that_are_signed_together():
     assert {len(b) for b in alone.values()} == {128, 256}
 
 
+def test_lines_without_their_text(table):
+    """The query's digests need no text back from the workers."""
+    data, df = table
+    out = lines.dedup_lines(df.select("doc_id", "text"), keep_text=False)
+    assert out.columns == ["doc_id", "kept_sha256", "n_lines", "n_removed"]
+    assert rows_of(out, "doc_id", "n_lines", "n_removed", "kept_sha256") == sorted(brute.op10(data))
+
+
 def test_lines_keep_other_columns(odd):
     out = lines.dedup_lines(odd[1])
     assert set(DOCS.replace(",", "").split()[::2]) - {"k", "th", "gone"} <= set(out.columns) | {"k", "th"}

@@ -7,7 +7,7 @@ import brute
 import numpy as np
 import pytest
 
-from quern.llm import banding, lines, neardup
+from quern.llm import _bytes, banding, lines, neardup
 
 
 def test_copies_of_a_text_in_their_midst(spark):
@@ -63,3 +63,24 @@ def test_closure_of_a_block(n, sides):
     names = sorted(set(label.tolist()))
     assert brute.components(names, list(zip(a.tolist(), b.tolist()))) == brute.components(names, links)
     assert len(a) < len(names)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 1000])
+@pytest.mark.parametrize("low, high", [(0, 4), (0, 2**64 - 1), (2**63, 2**63 + 300)])
+def test_order_of_numbers(n, low, high):
+    """Equal ones, and some that only their lowest bits tell apart."""
+    key = np.random.default_rng(n).integers(low, high, n, np.uint64, endpoint=True)
+    order = _bytes.order(key)
+    assert sorted(order.tolist()) == list(range(n))
+    assert key[order].tolist() == sorted(key.tolist())
+
+
+@pytest.mark.parametrize("alone", [True, False])
+def test_stars_of_keys(alone):
+    rng = np.random.default_rng(5)
+    key, id = rng.integers(0, 300, 900).astype(np.uint64) << np.uint64(40), rng.integers(-5, 5, 900)
+    key[:100] = rng.integers(2**63, 2**64, 100, np.uint64)  # each once
+    pairs = sorted(set(zip(key.tolist(), id.tolist())))
+    several = {k for k in key.tolist() if key.tolist().count(k) > 1}
+    found = list(zip(*(x.tolist() for x in banding._stars(key, id, alone))))
+    assert found == [(k, i, min(j for x, j in pairs if x == k)) for k, i in pairs if alone or k in several]

@@ -77,12 +77,20 @@ def federate(metrics: Metrics, match: list[str], at: int, lookback: int = 300_00
     return found.select(line.alias("line")).distinct().orderBy("line")
 
 
-def active_series(samples: DataFrame, keys: list[str], minutes: int = 15, precision: int = 12) -> DataFrame:
-    """minute, active: the estimated number of series with a sample in the ``minutes`` up to and with each minute.
+def active_series(samples: DataFrame, keys: list[str], minutes: int = 15, precision: int | None = None) -> DataFrame:
+    """minute, active: the number of series with a sample in the ``minutes`` up to and with each minute.
 
-    One sketch of 2**precision registers a minute; each minute then unions its own and those before it: sketches travel, samples don't.
+    A series counts from each of its minutes on until its next one takes over, or for ``minutes``; such runs are counted by beginning and
+    length before they are spread. With a ``precision`` the number is estimated, by one sketch of 2**precision registers a minute:
+    each minute then unions its own and those before it, sketches travel and series don't.
     """
     minute = F.floor(F.col("ts_ms") / 60_000).cast("bigint")
-    sketches = samples.groupBy(minute.alias("at")).agg(F.hll_sketch_agg(F.xxhash64(*keys), F.lit(precision)).alias("sketch"))
-    spread = sketches.select(F.explode(F.sequence("at", F.col("at") + (minutes - 1))).alias("minute"), "sketch")
-    return spread.groupBy("minute").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("active"))
+    if precision is not None:
+        sketches = samples.groupBy(minute.alias("at")).agg(F.hll_sketch_agg(F.xxhash64(*keys), F.lit(precision)).alias("sketch"))
+        spread = sketches.select(F.explode(F.sequence("at", F.col("at") + (minutes - 1))).alias("minute"), "sketch")
+        return spread.groupBy("minute").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("active"))
+    seen = samples.select(*keys, minute.alias("at")).distinct()
+    gap = F.lead("at").over(Window.partitionBy(*keys).orderBy("at")) - F.col("at")
+    runs = seen.select("at", F.least(gap, F.lit(minutes)).alias("n")).groupBy("at", "n").agg(F.count("*").alias("c"))
+    spread = runs.select(F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("minute"), "c")
+    return spread.groupBy("minute").agg(F.sum("c").alias("active"))

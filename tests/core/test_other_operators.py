@@ -287,6 +287,14 @@ def test_active_series(spark):
     assert abs(got[0] - 100) <= 5 and abs(got[20] - 500) <= 25 and max(got) == 29 + 14
 
 
+def test_active_series_are_counted_exactly(spark):
+    rows = spark.range(60_000).select((F.col("id") % 20_000).alias("s"), (F.floor(F.col("id") / 20_000) * 10 * 60_000).alias("ts_ms"))
+    got = {r["minute"]: r["active"] for r in discovery.active_series(rows.union(rows.where("s < 3 and ts_ms = 0")), ["s"]).collect()}
+    assert got == {m: 20_000 for m in range(35)}
+    estimated = {r["minute"]: r["active"] for r in discovery.active_series(rows, ["s"], precision=12).collect()}
+    assert estimated.keys() == got.keys() and all(abs(n - 20_000) < 2_000 for n in estimated.values())
+
+
 # Streams -----------------------------------------------------------------------------------------
 
 

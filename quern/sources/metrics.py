@@ -135,10 +135,14 @@ class Metrics:
         return df.select(*[self.label(x).alias(col(x)) for x in self.labels]).distinct()
 
 
+def _entries(labels: Column) -> Column:
+    """In the order of their names; empty values don't count."""
+    return F.array_sort(F.filter(F.map_entries(labels), lambda e: e["value"] != ""))
+
+
 def labels_key(labels: Column) -> Column:
-    """One string for equal label sets: entries in the order of their names; empty values don't count."""
-    entries = F.filter(F.map_entries(labels), lambda e: e["value"] != "")
-    return F.to_json(F.map_from_entries(F.array_sort(entries)))
+    """One string for equal label sets."""
+    return F.to_json(F.map_from_entries(_entries(labels)))
 
 
 def series_id(labels: Column) -> Column:
@@ -150,7 +154,8 @@ def normalise(rows: DataFrame, seq: str | None = None) -> tuple[DataFrame, DataF
     """series and samples of rows (labels MAP, ts_ms, value[, stale]); for two values of one time the one of the largest ``seq`` counts."""
     stale = F.col("stale") if "stale" in rows.columns else F.lit(False)
     rows = rows.select(series_id(F.col("labels")).alias("series_id"), "labels", "ts_ms", "value", stale.alias("stale"), *([F.col(seq).alias("_seq")] if seq else [F.lit(0).alias("_seq")]))
-    series = rows.groupBy("series_id").agg(F.first("labels").alias("labels"))
+    # Entries are part of the key: unlike maps they are hashed, so no task sorts the labels of all its rows.
+    series = rows.select("series_id", _entries(F.col("labels")).alias("e")).distinct().select("series_id", F.map_from_entries("e").alias("labels"))
     samples = rows.groupBy("series_id", "ts_ms").agg(F.max_by("value", "_seq").alias("value"), F.max_by("stale", "_seq").alias("stale"))
     return series, samples.withColumn("bucket_hour", F.floor(F.col("ts_ms") / HOUR).cast("bigint"))
 

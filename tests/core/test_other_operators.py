@@ -1,6 +1,7 @@
 """Similarity and text search, logs, key-value tables, formats and streams on small tables; queries against their SQL."""
 
 import math
+import re
 import struct
 
 import duckdb
@@ -259,6 +260,16 @@ def test_samples_are_stored_by_the_hour(spark, tmp_path):
     assert "PartitionFilters" in plan and "bucket_hour" in plan
 
 
+def test_labels_are_hashed_and_days_come_after_the_shuffle(spark, sf):
+    rows = spark.createDataFrame([({"b": "2", "a": "1"}, 0, 1.0), ({"a": "1", "b": "2", "c": ""}, 1, 2.0), ({"a": "1"}, 0, 3.0)], "labels map<string,string>, ts_ms long, value double")
+    series, samples = normalise(rows)
+    assert sorted((sorted(r["labels"].items()) for r in series.collect())) == [[("a", "1")], [("a", "1"), ("b", "2")]] and samples.count() == 3
+    assert "SortAggregate" not in series._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES["j5_group_left_info"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    below = re.split(r"Generate explode\((?!sequence\(k)", plan)[1:]
+    assert below and all("REPARTITION_BY_NUM" in x.split("FileScan")[0] for x in below)
+
+
 def test_time_bounds_reach_the_scan(spark, sf):
     plan = Engine(events_metrics(spark, sf)).explain("events_value{event_type='click'}", 1_704_300_000_000)
     pushed = next(line for line in plan.splitlines() if "PushedFilters" in line)

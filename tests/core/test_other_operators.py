@@ -249,6 +249,12 @@ def test_remote_write(spark):
     assert [(r["labels"], r["ts_ms"], r["stale"]) for r in got] == [({"__name__": "m", "a": "b"}, 5, False), ({"__name__": "m", "a": "b"}, -7, True)] and got[0]["value"] == 1.5
 
 
+def test_requests_are_decoded_to_common_batches():
+    bodies = [remote_write.message({"__name__": "m", "i": str(i)}, [(i, float(i))]) for i in range(5)]
+    (got,) = remote_write.decoded(iter([pa.RecordBatch.from_arrays([pa.array([*bodies, None], pa.binary())], names=["body"])]))
+    assert got.column("ts_ms").to_pylist() == [0, 1, 2, 3, 4] and dict(got.column("labels")[4].as_py()) == {"__name__": "m", "i": "4"}
+
+
 def test_samples_are_stored_by_the_hour(spark, tmp_path):
     rows = spark.createDataFrame([({"__name__": "m", "x": ""}, 0, 1.0, 1), ({"__name__": "m"}, 0, 2.0, 2), ({"__name__": "m"}, 3_600_000, 3.0, 1)], "labels map<string,string>, ts_ms long, value double, seq int")
     write_samples(rows, str(tmp_path / "m"), "seq")

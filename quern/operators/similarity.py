@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 METRICS = ("l2", "cosine", "dot")
 MAX_ID = 64  #: bytes of an id
+DISTANCES = 1 << 20  #: of a block of rows to all centroids, in a worker at one time
 
 
 # Filters -----------------------------------------------------------------------------------------
@@ -287,6 +288,16 @@ def build(rows: DataFrame, centroids: int, metric: str = "l2", sample: int = 100
     return assigned(rows, c, metric, id, vector)
 
 
+def _nearest(x: pd.Series, c: np.ndarray, copies: int) -> list[np.ndarray]:
+    """Numbers of the nearest centroids of each vector, by blocks: what is in memory grows neither with rows nor with centroids."""
+    found, own = [], (c * c).sum(1)
+    for i in range(0, len(x), block := max(1, DISTANCES // len(c))):
+        d = own - 2 * (np.stack(x.iloc[i : i + block].to_numpy()).astype(float) @ c.T)
+        best = np.argmin(np.where(np.isnan(d), np.inf, d), 1)[:, None] if copies == 1 else np.argsort(d, 1, kind="stable")[:, :copies]
+        found.extend(best.astype(np.int32))
+    return found
+
+
 def assigned(rows: DataFrame, centroids: np.ndarray, metric: str = "l2", id: str = "id", vector: str = "vector", copies: int = 1) -> Index:
     """The index of these centroids (a number the caller chose): every row goes to its nearest one, or to its ``copies`` nearest."""
     c, v = np.asarray(centroids, float), doubles(F.col(vector))
@@ -295,11 +306,7 @@ def assigned(rows: DataFrame, centroids: np.ndarray, metric: str = "l2", id: str
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def nearest(x: pd.Series) -> pd.Series:
-        c = shared.value
-        if not len(x):
-            return pd.Series([], dtype=object)
-        x = np.stack(x.to_numpy()).astype(float)
-        return pd.Series(list(np.argsort((c * c).sum(1) - 2 * (x @ c.T), 1, kind="stable")[:, :copies].astype(np.int32)))
+        return pd.Series(_nearest(x, shared.value, copies), dtype=object)
 
     postings = rows.withColumn("centroid_id", F.explode(nearest(v)) if len(c) else F.lit(0))
     return Index(c, postings, metric, id, vector, tuple(rows.columns), copies)

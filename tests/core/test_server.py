@@ -7,6 +7,7 @@ import urllib.parse
 import urllib.request
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,6 +157,20 @@ def test_lists_are_divided_and_given_up(spark):
     assert sim.maintained(sim.build(same, 3), split=50, merge=5).postings.count() == 200  # equal vectors can't be divided
 
 
+def test_rows_are_assigned_in_blocks():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    x, c = rng.normal(size=(5000, 8)), rng.normal(size=(2000, 8))
+    tracemalloc.start()
+    found = sim._nearest(pd.Series(list(x)), c, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    d = (c * c).sum(1) - 2 * (x @ c.T)
+    assert peak < d.nbytes and [int(i) for (i,) in found] == d.argmin(1).tolist()
+    assert [list(i) for i in sim._nearest(pd.Series(list(x[:900])), c, 3)] == np.argsort(d[:900], 1, kind="stable")[:, :3].tolist()
+
+
 def test_watermark(spark):
     of = lambda *x: logs.watermark(spark.createDataFrame([(i,) for i in x], "sequence long"), 3).first()[0]
     assert [of(), of(3), of(4), of(3, 4, 6), of(1, 3, 3, 4, 5)] == [3, 4, 3, 5, 6]
